@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_nb, quality_gbt
+from . import html_layout, language_nb, license_rules, quality_gbt, sentencepiece_unigram
 from .common import read_table
 
 
@@ -20,8 +20,33 @@ def op3_language_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_nb.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.license_scan(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.render_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op6_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_unigram.load()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentencepiece_unigram.decode(sentencepiece_unigram.encode(docs, model), model)
+    return rows.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        sentencepiece_unigram.digest().alias("ids_digest"),
+        F.get("ids", F.lit(0)).alias("first_id"),
+        F.expr("get(ids, size(ids) - 1)").alias("last_id"),
+        F.expr("decoded <=> text").alias("round_trip"),
+    )
+
+
 QUERIES = {
     "op2_quality_gbt": op2_quality_gbt,
     "op3_language_nb": op3_language_nb,
+    "op4_license_rules": op4_license_rules,
+    "op5_html_layout": op5_html_layout,
+    "op6_sentencepiece_unigram": op6_sentencepiece_unigram,
 }
 ORACLE_SQL: dict[str, str] = {}
