@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_layout, language_nb, license_rules, pfair_mix, quality_gbt, sentence_spans, sentencepiece_unigram
+from . import html_layout, language_nb, license_rules, pfair_mix, pivot_permutation, quality_gbt, sentence_spans, sentencepiece_unigram
 from .common import read_table
 
 
@@ -42,6 +42,10 @@ def op6_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_permutation.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return pfair_mix.mix(docs).drop("text")
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_license_rules": op4_license_rules,
     "op5_html_layout": op5_html_layout,
     "op6_sentencepiece_unigram": op6_sentencepiece_unigram,
+    "op7_pivot_permutation": op7_pivot_permutation,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_sentence_spans": op9_sentence_spans,
 }
