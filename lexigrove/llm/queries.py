@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_layout, language_nb, license_rules, pfair_mix, pivot_permutation, quality_gbt, sentence_spans, sentencepiece_unigram
+from . import group_matrix_join, html_layout, language_nb, license_rules, pfair_mix, pivot_permutation, quality_gbt, sentence_spans, sentencepiece_unigram
 from .common import read_table
 
 
@@ -56,6 +56,10 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.cut_repeats(docs, report=True)
 
 
+def op10_group_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_matrix_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_gbt": op2_quality_gbt,
     "op3_language_nb": op3_language_nb,
@@ -65,5 +69,8 @@ QUERIES = {
     "op7_pivot_permutation": op7_pivot_permutation,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_sentence_spans": op9_sentence_spans,
+    "op10_group_matrix_join": op10_group_matrix_join,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_group_matrix_join": group_matrix_join.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
