@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import group_matrix_join, html_layout, language_nb, license_rules, pfair_mix, pivot_permutation, quality_gbt, sentence_spans, sentencepiece_unigram
+from . import group_matrix_join, html_layout, language_nb, license_rules, maxent_lm, pfair_mix, pivot_permutation, quality_gbt, sentence_spans, sentencepiece_unigram
 from .common import read_table
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -61,6 +65,7 @@ def op10_group_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_maxent_lm": op1_maxent_lm,
     "op2_quality_gbt": op2_quality_gbt,
     "op3_language_nb": op3_language_nb,
     "op4_license_rules": op4_license_rules,
