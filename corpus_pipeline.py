@@ -1,10 +1,71 @@
-"""Training-corpus pipeline (stages are added as their operators land)."""
+"""Training-corpus pipeline: identify, deduplicate, cut repeats, mix, encode.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet in the shared checkpoint folder and read again as the next stage's docs.
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexigrove.llm import group_matrix_join, language_nb, pfair_mix, sentence_spans, sentencepiece_unigram
+from lexigrove.llm.common import materialize, read_table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter and texts of no known language go."""
+    return language_nb.keep_identified(docs, language_nb.train(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group stays; of repeated rows, one."""
+    found = materialize(group_matrix_join.near_duplicates(docs), "near-duplicates")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return kept
+    many = kept.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_anti").union(many)
+
+
+def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences covered by a repeated span go, but for its first place; n_chars follows."""
+    cut = sentence_spans.cut_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return cut
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixing schedule."""
+    return pfair_mix.in_order(docs)
+
+
+def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece ids (ids) and their number (n_tokens)."""
+    rows = sentencepiece_unigram.encode(docs, sentencepiece_unigram.load())
+    return rows.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", cut_repeated_spans),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding", encode_text),
+]
+
+#: SQL can't express the trained and scheduled stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"stage-{i}")
+    return docs

@@ -114,5 +114,29 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[Column, ...] = ()
     return map_arrow(rows, step, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a language of the model.
+
+    Rejected: texts without a letter, and those whose best language has a posterior under ``least``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.lit(0).alias("__"), F.col(text_col).cast("string").cast("binary").alias("__text"), *docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            for part, texts in slices(b):
+                keep = np.zeros(len(texts), bool)
+                text = [None if t is None else t.decode("utf-8", "replace") for t in texts]
+                known = [i for i, t in enumerate(text) if model and t and _LETTER.search(t)]
+                if known:
+                    keep[known] = np.array(model.predict([text[i] for i in known])[1]) >= least
+                    kept = part.filter(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays(kept.columns[2:], names=names)
+
+    names = docs.columns
+    return rows.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
