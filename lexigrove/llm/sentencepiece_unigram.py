@@ -37,7 +37,9 @@ UNKNOWN_PENALTY = 10.0
 #: Shift of the Zipf-Mandelbrot law for files that hold ranks.
 ZIPF_SHIFT = 2.7
 #: Words whose segmentation a worker remembers; then it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+#: Words of at most so many characters are segmented together, so many at a time.
+SHORT, TOGETHER = 48, 8192
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -167,8 +169,14 @@ class Model:
         crosses = any(MARK in p.lstrip(MARK) for p in words)
         breaks = "" if any("\n" in p for p in words) else "\n"
         self.split = None if crosses else re.compile(f"{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+" + ("|\n" if breaks else ""))
-        self.cache: dict[str, tuple] = {}
+        self.cache: dict[str, bytes] = {}
         self.surface = [p.replace(MARK, " ") if k == NORMAL else "" for p, k in zip(self.pieces, self.kinds)]
+        #: Byte pieces that make a character only together with others.
+        self.high = frozenset(i for b, i in self.byte_ids.items() if b >= 0x80)
+        for b, i in self.byte_ids.items():
+            if b < 0x80:
+                self.surface[i] = chr(b)
+        self.arrays = (*(np.array(x, np.int64) for x in (self.trie.base, self.trie.check, self.trie.value)), np.array(self.scores))
 
     def best(self, text: bytes) -> list[int]:
         """Viterbi: ids of the best path through one word (or a whole text)."""
@@ -210,7 +218,67 @@ class Model:
         ids.reverse()
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def best_many(self, words: list[bytes]) -> list[bytes]:
+        """The same for many short words at once; ids as packed 32-bit numbers.
+
+        The trie is walked from one start for all words together, and every walk
+        goes on with those words that still match.
+        """
+        n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        width = int(size.max())
+        text = np.zeros((n, width), np.int64)
+        text[np.repeat(np.arange(n), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.frombuffer(b"".join(words), np.uint8)
+        base, check, value, score = self.arrays
+        best = np.full((n, width + 1), -np.inf)
+        best[:, 0] = 0.0
+        start, piece = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
+        for i in range(width):
+            rows = np.flatnonzero((size > i) & (best[:, i] > -np.inf))
+            if not len(rows):
+                continue
+            lead = text[rows, i]
+            one = i + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            here, single = best[rows, i], np.zeros(len(rows), bool)
+            at, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            for j in range(i, width):
+                go = base[node] + text[rows[at], j] + 1
+                ok = (check[go] == node) & (size[rows[at]] > j)
+                at, node = at[ok], go[ok]
+                if not len(at):
+                    break
+                k = value[node]
+                hit = k >= 0
+                if hit.any():
+                    own, k = at[hit], k[hit]
+                    single[own] |= one[own] == j + 1
+                    s, r = here[own] + score[k], rows[own]
+                    better = s > best[r, j + 1]
+                    r = r[better]
+                    best[r, j + 1], start[r, j + 1], piece[r, j + 1] = s[better], i, k[better]
+            left = ~single
+            if left.any():
+                r, e, s = rows[left], one[left], here[left] + self.unknown
+                better = s > best[r, e]
+                r, e = r[better], e[better]
+                best[r, e], start[r, e], piece[r, e] = s[better], i, -1
+        at, word, steps = size.copy(), np.arange(n), []
+        unknown = np.zeros(n, bool)
+        while len(word):
+            k = piece[word, at]
+            unknown[word[k < 0]] = True
+            steps.append((word, k))
+            at = start[word, at].astype(np.int64)
+            word, at = word[at > 0], at[at > 0]
+        who, ids = np.concatenate([w for w, _ in steps[::-1]]), np.concatenate([k for _, k in steps[::-1]])
+        order = np.argsort(who, kind="stable")
+        flat, ends = ids[order].astype("<i4").tobytes(), 4 * np.cumsum(np.bincount(who, minlength=n))
+        out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        for i in np.flatnonzero(unknown):
+            out[i] = array("i", self.best(words[i])).tobytes()
+        return out
+
+    def words(self, text: str) -> list[str]:
+        """The text's parts that can be segmented one by one."""
         if self.strip_extra:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
@@ -218,33 +286,42 @@ class Model:
         text = text.replace(" ", MARK)
         if self.dummy_prefix:
             text = MARK + text
-        if not self.split:
-            return self.best(text.encode())
-        cache, ids = self.cache, []
-        for w in self.split.findall(text):
-            known = cache.get(w)
-            if known is None:
-                known = self.best(w.encode())
-                if len(w) < 64:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[w] = known = tuple(known)
-            ids += known
-        return ids
+        return self.split.findall(text) if self.split else [text]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; new words of all texts are segmented together."""
+        cache = self.cache
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        parts = [self.words(t) if t else [] for t in texts]
+        new = {w for own in parts for w in own if w not in cache}
+        long = {w: array("i", self.best(w.encode())).tobytes() for w in new if len(w) > SHORT}
+        fresh = sorted((w.encode() for w in new if len(w) <= SHORT), key=len)
+        for lo in range(0, len(fresh), TOGETHER):
+            part = fresh[lo : lo + TOGETHER]
+            cache.update(zip((w.decode() for w in part), self.best_many(part)))
+        if long:
+            return [b"".join([cache[w] if w in cache else long[w] for w in own]) for own in parts]
+        return [b"".join([cache[w] for w in own]) for own in parts]
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         surface, kinds, out, run = self.surface, self.kinds, [], bytearray()
-        for i in ids:
-            if kinds[i] == BYTE:
-                run.append(int(self.pieces[i][3:5], 16))
-            else:
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run = bytearray()
-                out.append(surface[i])
-        if run:
+        if not self.high.intersection(ids):
+            text = "".join([surface[i] for i in ids])
+        else:
+            for i in ids:
+                if kinds[i] == BYTE:
+                    run.append(int(self.pieces[i][3:5], 16))
+                else:
+                    if run:
+                        out.append(run.decode("utf-8", "replace"))
+                        run = bytearray()
+                    out.append(surface[i])
             out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
+            text = "".join(out)
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
@@ -264,15 +341,10 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
         model = shared.value
         for b in batches:
             for part, texts in slices(b):
-                offsets, flat = [0], array("i")
-                for t in texts:
-                    if t is not None:
-                        flat.extend(model.encode(t))
-                    offsets.append(len(flat))
-                values = pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32))
-                missing = pa.array([t is None for t in texts] + [False])
-                at = pa.array(np.array(offsets, np.int32))
-                ids = pa.ListArray.from_arrays(pc.if_else(missing, pa.scalar(None, pa.int32()), at) if any(t is None for t in texts) else at, values)
+                packed = model.encode_many(texts)
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+                at = pa.array(ends, mask=np.array([*(t is None for t in texts), False]))
+                ids = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids], names=names)
 
     schema = T.StructType([*rows.drop("_").schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
