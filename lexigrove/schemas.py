@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)  # needs an active session
-
-
 RAW_RECORD = (
     "patent_id string, publication_number string, title string, domain string, abstract string, claims array<string>, "
     "description string, snippet string, inventor string, assignee string, filing_date string, grant_date string, "

@@ -23,7 +23,7 @@ def scan_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def scan_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("id"), F.col("value").alias("text"))
 
 
 def check_alignment(vectors: DataFrame, metadata: DataFrame, key: str) -> None:
