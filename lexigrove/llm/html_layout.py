@@ -5,7 +5,8 @@ tr, closing p/li/dd/td and so on); visibility rules drop what a browser wouldn't
 show; a renderer then writes blocks with their spacing, list markers with
 indentation, preformatted text as it stands, and tables with aligned columns.
 
-Defined results: null HTML gives null text, empty HTML empty text; unclosed
+Defined results: null HTML gives null text, empty HTML empty text; an attribute whose
+quote is not closed ends at the next >; unclosed
 tags, comments and attributes end with the document; nesting deeper than
 ``MAX_DEPTH`` is flattened, keeping its text; repeated rows are rendered alike.
 """
