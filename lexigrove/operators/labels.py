@@ -37,11 +37,14 @@ def summary(points: DataFrame, id_col: str = "doc_id", domain: str = "domain", f
 def tfidf_terms(rows: DataFrame, top_n: int = 10, max_features: int = 5000, limit: int = t.LABEL_TEXT_LIMIT, id_col: str = "doc_id") -> DataFrame:
     """(cluster, rank, term, weight): the strongest terms of each cluster's joined text.
 
-    The joined text is cut at ``limit`` characters, so only the members that it can
-    reach are gathered: a running length finds them.
+    The joined text is cut at ``limit`` characters.  Each member fills one at least, so
+    the first ``limit`` ids of a cluster (found with partial limits before the shuffle)
+    hold all that it can reach, and a running length finds those.
     """
-    w = Window.partitionBy("cluster").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.withColumn("_at", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))).where(F.col("_at") < limit)
+    order = Window.partitionBy("cluster").orderBy(id_col)
+    w = order.rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
+    near = first.withColumn("_at", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))).where(F.col("_at") < limit)
     joined = near.groupBy("cluster").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), "text"))), lambda x: x["text"]), " "), 1, limit).alias("text"))
     counts = vectorize.term_counts(joined, id_col="cluster")
     n = joined.count()
