@@ -291,3 +291,30 @@ def test_color_scale_and_bands(spark):
     assert [r[0] for r in spark.createDataFrame([(0.8,), (0.6,), (None,)], "s double").select(v.interpretation(F.col("s"))).collect()] == list(v.BANDS)
     z = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<float>").select(v.l2_normalize(F.col("v"))).collect()
     assert [r[0] for r in z] == [[0, 0], [0.6, 0.8]]
+
+
+def test_encoders_and_saved_index(spark, tmp_path):
+    from lexigrove.operators import encode
+
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "red green blue"), (3, "other words"), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: np.array(r.embedding) for r in encode.hashed_encoding(docs, 32).collect()}
+    assert np.allclose(got[1], got[2]) and abs(got[1] @ got[1] - 1) < 1e-6 and abs(got[1] @ got[3]) < 0.9 and not got[4].any()
+    made = {r.doc_id: list(r.embedding) for r in encode.encode(docs, lambda xs: [[len(x), 0.0] for x in xs], 2).collect()}
+    assert made == {1: [1, 0], 2: [1, 0], 3: [1, 0], 4: [0, 0]}
+    text = spark.createDataFrame([(0, "a b")], "cluster int, text string")
+    assert encode.keyphrases(text).first().keyword_scores == {}
+    assert encode.keyphrases(text, lambda s: [(s, 0.123456)]).first().keyword_scores == {"a b": 0.1235}
+    calls = []
+    for n in (4, 4, 5):
+        assert encode.saved(spark, f"{tmp_path}/index", n, lambda: calls.append(1) or docs).count() == 4
+    assert len(calls) == 2
+
+
+def test_scatter_page(spark):
+    from lexigrove.sources import scatter
+
+    rows = spark.createDataFrame([(0.0, 0.0, 0, "a<b"), (1.0, 2.0, -1, "noise")], "x double, y double, cluster int, title string")
+    out = scatter.page(rows, {"ari": 0.5, "n": 3, "nmi": None})
+    assert out.count("<circle") == 2 and "a&lt;b" in out and v.NOISE_COLOR in out and "<td>0.5000</td>" in out and "N/A" in out
+    with pytest.raises(ValueError):
+        scatter.page(rows, {}, max_points=1)
