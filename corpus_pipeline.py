@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group stays; of repeated rows, one."""
-    found = materialize(group_matrix_join.near_duplicates(docs), "near-duplicates")
+    found = group_matrix_join.near_duplicates(docs)
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,33 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, space: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Cuts the lineage, survives lost executors, and keeps a costly stage from
-    running again for every action that follows.
+    running again for every action that follows.  ``space``: see scratch().
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if space is not None:
+        space.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Collects the tables written for a result that is itself written; they go at the end."""
+    space: list[str] = []
+    try:
+        yield space
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in space:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut a record batch into runs of rows whose texts stay under ``limit`` bytes.
 
