@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, scratch
 from .graph import components
 
 
@@ -177,21 +177,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, prefix: int = 6,
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != big))
     usable = F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
-    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes")
-    found = None
-    for (size,) in sorted(classes.groupBy(F.size("embedding")).count().select(F.col("size(embedding)")).limit(64).collect()):
-        part = _link(classes.where(F.size("embedding") == size), kind, threshold, prefix, n_pivots, chunk, sample_rows)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "a long, b long, links long")
-    found = materialize(found, "vector-links")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    # A node of several vectors joins their classes.
-    members = materialize(good.join(classes, "embedding").select("vec_id", "rep", "m"), "members")
-    several = members.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    comp = components(found.where("b is not null").select("a", "b").union(several))
-    out = members.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.groupBy("vec_id").agg(F.sum(F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id"))
-    alone = rows.where(~usable).select("vec_id").distinct().join(out.select(F.col("vec_id").alias("v")), F.col("vec_id") == F.col("v"), "left_anti")
-    out = out.union(alone.select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))
+    with scratch(vectors.sparkSession) as space:
+        classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes", space)
+        found = None
+        for (size,) in sorted(classes.groupBy(F.size("embedding")).count().select(F.col("size(embedding)")).limit(64).collect()):
+            part = _link(classes.where(F.size("embedding") == size), kind, threshold, prefix, n_pivots, chunk, sample_rows)
+            found = part if found is None else found.union(part)
+        if found is None:
+            found = vectors.sparkSession.createDataFrame([], "a long, b long, links long")
+        found = materialize(found, "vector-links", space)
+        links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+        # A node of several vectors joins their classes.
+        members = materialize(good.join(classes, "embedding").select("vec_id", "rep", "m"), "members", space)
+        several = members.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+        comp = components(found.where("b is not null").select("a", "b").union(several), space=space)
+        out = members.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+        out = out.groupBy("vec_id").agg(F.sum(F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id"))
+        alone = rows.where(~usable).select("vec_id").distinct().join(out.select(F.col("vec_id").alias("v")), F.col("vec_id") == F.col("v"), "left_anti")
+        out = out.union(alone.select("vec_id", F.lit(0).cast("long"), "vec_id"))
+        return materialize(out.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept")), "vector-duplicates")
+
+
+#: Exact links; the index finds those that meet (all of them on the test tables).
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+), link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE a = v.vec_id) AS n_links, r.c AS component_id, v.vec_id = r.c AS kept
+FROM v JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = v.vec_id
+"""

@@ -77,5 +77,6 @@ QUERIES = {
     "op10_group_matrix_join": op10_group_matrix_join,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_pivot_permutation": pivot_permutation.ORACLE,
     "op10_group_matrix_join": group_matrix_join.ORACLE,
 }
