@@ -25,13 +25,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, materialize, slices, sum_blocks
+from .common import ids_and_text, materialize, scratch, slices, sum_blocks
 
 #: White space is no word, so it can stand for the end of a text.
 END = b"\n"
@@ -69,6 +70,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def add_rows(total: np.ndarray, row: np.ndarray, p: np.ndarray) -> None:
+    """total[row[i]] += p[i] for all i; rows met once are added at a stroke, others summed first."""
+    order = np.argsort(row, kind="stable")
+    at = row[order]
+    new = np.concatenate([[True], at[1:] != at[:-1], [True]])
+    once = new[:-1] & new[1:]
+    total[at[once]] += p.take(order[once], axis=0)
+    several = ~once
+    if several.any():
+        at, order, first = at[several], order[several], np.flatnonzero(new[:-1][several])
+        total[at[first]] += np.add.reduceat(p.take(order, axis=0), first, axis=0)
+
+
 class Model:
     def __init__(self, tokens: list[bytes], counts: np.ndarray, total: int, distinct: int):
         """tokens by falling count; total and distinct are those of the training rows."""
@@ -109,19 +123,20 @@ class Model:
             self._index = {t: i for i, t in enumerate(self.tokens)}
         return self._index
 
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    def read(self, texts: list[bytes | None], keep_rest: bool = True) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Token numbers of all texts in a row, their places in the text, and each text's words outside the vocabulary."""
-        index, k = self.index, len(self.tokens)
-        end, ids, sizes, rest = index.get(END, k), [], [], []
+        get, k = self.index.get, len(self.tokens)
+        end, parts, rest = get(END, k), [], []
         for t in texts:
             words = (t or b"").lower().split()
-            own = [index.get(w, k) for w in words]
-            ids += own
-            ids.append(end)
-            sizes.append(len(own) + 1)
-            rest.append([w for w, i in zip(words, own) if i == k])
-        size = np.array(sizes, np.int64)
-        return np.array(ids, np.int64), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), rest
+            own = np.empty(len(words) + 1, np.int64)
+            own[:-1] = np.fromiter(map(get, words, repeat(k)), np.int64, len(words))
+            own[-1] = end
+            parts.append(own)
+            if keep_rest:
+                rest.append([words[i] for i in np.flatnonzero(own[:-1] == k)])
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.concatenate(parts), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), rest
 
     def features(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Hashes of the history's features (features x tokens, 32 bits)."""
@@ -138,29 +153,26 @@ class Model:
         h ^= h >> np.uint32(13)
         return h
 
-    @staticmethod
-    def softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        return logits
-
     def levels(self, ids: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
-        """Of both levels: rows of features, right outcome, probabilities, and which tokens take part."""
+        """Of both levels: rows of features, right outcome, its logit, exponentials and their sums, tokens that take part.
+
+        Steps are bounded, so logits stay far below overflow.
+        """
+
+        def level(f: np.ndarray, right: np.ndarray, w: np.ndarray, logits: np.ndarray) -> tuple:
+            for row in f:
+                logits += w.take(row, axis=0)
+            own = logits[np.arange(len(right)), right]
+            np.exp(logits, out=logits)
+            return f, right, own, logits, logits @ np.ones(logits.shape[1], "f4")
+
         f = (h >> np.uint32(32 - BITS)).astype(np.int16)
-        logits = self.w1[f[0]]
-        for k in range(1, N_FEATURES):
-            logits += self.w1[f[k]]
-        logits += self.bias
-        yield f, self.cls[ids], self.softmax(logits), slice(None)
+        yield *level(f, self.cls[ids], self.w1, np.repeat(self.bias[None, :], len(ids), axis=0)), slice(None)
         head = np.flatnonzero(ids < min(len(self.tokens), HEAD_CLASSES * WIDTH))
         if len(head):
             c = self.cls[ids[head]]
             f = ((h[np.array(WORD_FEATURES)[:, None], head] ^ (c.astype(np.uint32) * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)).astype(np.int16)
-            logits = self.own_bias[c]
-            for row in f:
-                logits += self.w2[row]
-            yield f, self.slot[ids[head]], self.softmax(logits), head
+            yield *level(f, self.slot[ids[head]], self.w2, self.own_bias[c]), head
 
     def log_p(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Natural log probability of each token; in the last class without the word's own count."""
@@ -169,8 +181,8 @@ class Model:
         for lo in range(0, len(ids), CHUNK):
             own = ids[lo : lo + CHUNK]
             part = self.word_log[own].copy()
-            for _, right, p, which in self.levels(own, h[:, lo : lo + CHUNK]):
-                part[which] += np.log(np.maximum(p[np.arange(len(right)), right], 1e-30))
+            for _, _, logit, _, z, which in self.levels(own, h[:, lo : lo + CHUNK]):
+                part[which] += logit - np.log(z)
             out[lo : lo + CHUNK] = part
         return out
 
@@ -178,15 +190,11 @@ class Model:
         """Add observed minus expected counts of each level to sums, and how often each row was active."""
         h = self.features(ids, place)
         for lo in range(0, len(ids), CHUNK):
-            for level, (f, right, p, _) in enumerate(self.levels(ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK])):
-                n = len(right)
-                p *= np.float32(-1)
-                p[np.arange(n), right] += np.float32(1)
+            for level, (f, right, _, p, z, _) in enumerate(self.levels(ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK])):
+                p *= (np.float32(-1) / z)[:, None]
+                p[np.arange(len(right)), right] += np.float32(1)
                 for row in f:
-                    order = np.argsort(row, kind="stable")
-                    at = row[order]
-                    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                    sums[level][at[first]] += np.add.reduceat(p[order], first, axis=0)
+                    add_rows(sums[level], row, p)
                     visits[level] += np.bincount(row, minlength=1 << BITS)
 
     def update(self, sums: list[np.ndarray], visits: list[np.ndarray], step: float) -> None:
@@ -213,7 +221,7 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             for b in batches:
                 for _, texts in slices(b):
                     some = True
-                    ids, place, _ = model.read(texts)
+                    ids, place, _ = model.read(texts, False)
                     model.gradient(ids, place, sums, visits)
             if some:
                 # A block's rows, then its visits, in one vector.
@@ -231,9 +239,9 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     return model
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, space: list[str] | None = None) -> tuple[Model, DataFrame]:
     """The trained model and the counts of all words of ``docs`` (doc_id, text)."""
-    counts = materialize(word_counts(docs), "word-counts")
+    counts = materialize(word_counts(docs), "word-counts", space)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     level = F.floor(F.log2("c") * 32).cast("int")
     per = {r["k"]: r["n"] for r in counts.groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect()}
@@ -250,7 +258,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     return (train(docs, model) if total else model), counts
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, space: list[str] | None = None) -> DataFrame:
     """``docs`` (doc_id, text, held_out) -> the contract's columns, one row for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -271,7 +279,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, log double, rest array<binary>"), "scored")
+    rows = materialize(rows.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, log double, rest array<binary>"), "scored", space)
     # The exact way for words outside the broadcast vocabulary.
     rest = rows.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("k"))
     rest = rest.join(counts, "token").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("add"))
@@ -292,5 +300,6 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Score every row, with a model of the rows outside the held-out fold."""
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == held_fold, F.lit(False))
     docs = ids_and_text(documents, id_col, text_col, (held.alias("held_out"),))
-    model, counts = fit(docs.where("not held_out").select("doc_id", "text"))
-    return score(docs, model, counts)
+    with scratch(docs.sparkSession) as space:
+        model, counts = fit(docs.where("not held_out").select("doc_id", "text"), space)
+        return materialize(score(docs, model, counts, space), "lm-scores")
