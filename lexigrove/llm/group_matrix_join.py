@@ -4,14 +4,16 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes; documents
 with equal sets are one class.  The join is exact:
 
 1. Similar documents are partitioned into groups: classes that share one of a few
-   minimum hashes are verified against the smallest class of that hash, and the
-   components of those links, cut into blocks, are the groups.
-2. The matrix keeps each group's token union, over prefix tokens: in one global
-   order of tokens (tokens of few documents first), a set's first
-   n - ceil(0.75 n) + 1 tokens.  Sets that link share one of them.
+   minimum hashes are verified against the smallest class of that hash; the components
+   of those links are groups, and so are the other classes that share a minimum hash,
+   all cut into blocks.
+2. The matrix keeps each group's token union, over prefix tokens: the first ones in
+   one global order of tokens (tokens of few documents first).  Of two sets that link,
+   the smaller has a token in the matrix that the larger looks up (see prefixes).
 3. A query class and a group of another component that share s tokens can link only
-   if s + max(ceil(0.75 n)) - 1 reaches the least intersection needed; only such
-   groups are opened, and every size-compatible member is verified.
+   if s and what lies beyond the prefixes reach the intersection needed, and if the
+   group's whole union holds enough of the query; only such groups are opened, and
+   every size-compatible member is verified.
 
 Pairs within a component are never compared again, so a group of many near copies
 costs as many comparisons as it has members.  Tokens in ``HOT_DF`` documents or
@@ -34,14 +36,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, materialize, slices
+from .common import ids_and_text, materialize, scratch, slices
 from .graph import components
 
 #: Similarity in percent, and words of a shingle.
 PERCENT, WORDS = 75, 5
 HOT_DF, MAX_HOT = 64, 1 << 20
-#: Minimum hashes for grouping; members of a block; members verified by one task.
-N_MINS, BLOCK, STAR = 4, 64, 512
+#: Members of a block; members verified by one task.
+BLOCK, STAR = 64, 512
+#: Tokens beyond the least prefixes, in percent of the set.
+SPARE = 6
 #: Bits of the filter that spares the second scan the texts of unlinked documents.
 FILTER_BITS = 1 << 24
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -62,9 +66,19 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
-def needed(n: np.ndarray | int, percent: int = PERCENT):
+def needed(n: int, percent: int = PERCENT) -> int:
     """Least intersection of a set of n tokens with any that it links with."""
-    return (n * percent + 99) // 100
+    return -(-n * percent // 100)
+
+
+def prefixes(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """Tokens of a set of n that the matrix holds, and that a query of n tokens looks up.
+
+    The smaller set of a link has at least 2t/(1+t) of its tokens in common, so the
+    matrix can do with fewer.  SPARE tokens more on both sides make the counts tell more.
+    """
+    spare = n * SPARE // 100 + 1
+    return min(n, n - -(-n * 2 * percent // (100 + percent)) + spare), min(n, n - needed(n, percent) + spare)
 
 
 def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -104,102 +118,119 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(pack, "bucket int, tokens binary").repartition("bucket").mapInArrow(count, "token long, df long")
 
 
-def hot_tokens(docs: DataFrame) -> np.ndarray:
-    """The most frequent tokens, at most MAX_HOT, in order."""
-    counts = materialize(token_counts(docs), "token-counts")
-    per = {r["k"]: r["n"] for r in counts.groupBy(F.floor(F.log2("df")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}
-    total, least = 0, None
-    for k in sorted(per, reverse=True):
-        total += per[k]
-        if total > MAX_HOT:
-            break
-        least = k
-    if least is None:
-        return np.zeros(0, np.int64)
-    found = counts.where(F.floor(F.log2("df")) >= least).select("token").toArrow()
-    return np.sort(found.column(0).to_numpy())
+def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, at most MAX_HOT, in order, and the power of two of each one's df."""
+    with scratch(docs.sparkSession) as space:
+        counts = materialize(token_counts(docs), "token-counts", space).withColumn("k", F.floor(F.log2("df")).cast("int"))
+        per = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.count("*").alias("n")).collect()}
+        total, least = 0, None
+        for k in sorted(per, reverse=True):
+            total += per[k]
+            if total > MAX_HOT:
+                break
+            least = k
+        if least is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int8)
+        found = counts.where(F.col("k") >= least).select("token", "k").toArrow()
+        token, k = found.column(0).to_numpy(), found.column(1).to_numpy()
+        order = np.argsort(token)
+        return token[order], k[order].astype(np.int8)
 
 
-SIGNATURES = "doc_id long, n long, s1 long, s2 long, mins array<long>, cold binary, hot array<long>"
+SIGNATURES = "doc_id long, n long, s1 long, s2 long, mins array<long>, cold binary, n_index int, hot array<long>, n_hot_index int"
 
 
-def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """For each row: set size, 128-bit hash of the set, minimum hashes, prefix tokens."""
+def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """For each row: set size, 128-bit hash of the set, minimum hashes, prefix tokens.
+
+    Prefix tokens are 42 bits of the hash (equal ones make a shared count too high at
+    most, never too low): cold ones in 6 bytes each, then hot ones by rising df; the
+    first n_index and n_hot_index are those of the matrix.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        hot, level = shared.value
         for b in batches:
             for part, texts in slices(b):
-                n, sig, mins, cold, warm = [], [], [], [], []
+                n, sig, mins, cold, warm, own = [], [], [], [], [], []
                 for t in texts:
                     s = shingles(t)
                     n.append(len(s))
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                     if not len(s):
-                        mins.append([]), cold.append(b""), warm.append([])
+                        mins.append([]), cold.append(b""), warm.append([]), own.append((0, 0))
                         continue
                     m = s * _MULT[:, None]
                     m = (m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                     mins.append(m.min(axis=1).view(np.int64).tolist())
-                    take = len(s) - int(needed(len(s))) + 1
-                    key = (s >> np.uint64(22)).astype(np.int64)
-                    at = np.searchsorted(hot, key)
-                    is_hot = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == key) if len(hot) else np.zeros(len(s), bool)
-                    first = s[~is_hot][:take]
-                    cold.append(first.tobytes())
-                    warm.append(s[is_hot][: take - len(first)].view(np.int64).tolist())
+                    index, probe = prefixes(len(s))
+                    # One order for all documents: by the power of two of df, then by the 42 bits.
+                    key = np.unique((s >> np.uint64(22)).astype(np.int64))
+                    at = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
+                    is_hot = hot[at] == key if len(hot) else np.zeros(len(key), bool)
+                    first = key[~is_hot][:probe]
+                    cold.append(first.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                    late = key[is_hot]
+                    late = late[np.argsort(level[at[is_hot]], kind="stable")][: probe - len(first)]
+                    warm.append(late.tolist())
+                    own.append((min(len(first), index), max(0, min(len(late), index - len(first)))))
                 halves = np.frombuffer(b"".join(sig), np.int64).reshape(-1, 2)
+                i, j = zip(*own)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(mins, pa.list_(pa.int64())), pa.array(cold, pa.binary()), pa.array(warm, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "s1", "s2", "mins", "cold", "hot"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(mins, pa.list_(pa.int64())), pa.array(cold, pa.binary()), pa.array(i, pa.int32()), pa.array(warm, pa.list_(pa.int64())), pa.array(j, pa.int32())],
+                    names=[x.split()[0] for x in SIGNATURES.split(", ")],
                 )
 
     return docs.mapInArrow(run, SIGNATURES)
 
 
 def cold_postings(sigs: DataFrame) -> DataFrame:
-    """(token, rep) of the prefix tokens outside the hot set that several rows share."""
+    """(token, rep, held) of the cold prefix tokens that several rows share; held: in the matrix."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, cold = b.column(0).to_numpy(), b.column(1).to_pylist()
+            ids, cold, index = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
             for lo in range(0, len(ids), 2000):
                 part = cold[lo : lo + 2000]
-                t = np.frombuffer(b"".join(part), np.uint64)
-                if not len(t):
+                raw = np.frombuffer(b"".join(part), np.uint8).reshape(-1, 6)
+                if not len(raw):
                     continue
-                who = np.repeat(ids[lo : lo + 2000], [len(x) // 8 for x in part])
+                size = np.array([len(x) // 6 for x in part])
+                t = np.zeros((len(raw), 8), np.uint8)
+                t[:, :6] = raw
+                t = t.view("<i8").ravel()
+                who = np.repeat(ids[lo : lo + 2000], size)
+                place = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
+                held = (place < np.repeat(index[lo : lo + 2000], size)).astype(np.uint8)
                 order = np.argsort(t)
-                t, who = t[order], who[order]
-                bucket = (t >> np.uint64(54)).astype(np.int32)
+                t, who, held = t[order], who[order], held[order]
+                bucket, low = (t >> 32).astype(np.int32), t.astype(np.uint32)
                 edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(t)]
                 cut = list(zip(edges, edges[1:]))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array([t[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([who[i:j].tobytes() for i, j in cut], pa.binary())], names=["bucket", "tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), *(pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (low, who, held))], names=["bucket", "tokens", "ids", "held"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        kept: dict[int, list] = {}
         for b in batches:
-            for k, t, i in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(k, []).append((t, i))
-        for k in list(held):
-            rows = held.pop(k)
-            t = np.frombuffer(b"".join(x for x, _ in rows), np.int64)
-            who = np.frombuffer(b"".join(x for _, x in rows), np.int64)
+            for k, *row in zip(*(c.to_pylist() for c in b.columns)):
+                kept.setdefault(k, []).append(row)
+        for k in list(kept):
+            rows = kept.pop(k)
+            t, who, held = (np.frombuffer(b"".join(x[c] for x in rows), kind) for c, kind in ((0, np.uint32), (1, np.int64), (2, np.uint8)))
             order = np.lexsort((who, t))
-            t, who = t[order], who[order]
+            t, who, held = t[order], who[order], held[order]
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (who[1:] != who[:-1])
-            t, who = t[new], who[new]
-            same = t[1:] == t[:-1]
-            keep = np.zeros(len(t), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
+            t, who, held = t[new], who[new], held[new]
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            n = np.diff([*first, len(t)])
+            keep = np.repeat((n > 1) & (np.add.reduceat(held.astype(np.int64), first) > 0), n)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(who[keep])], names=["token", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << 32) | t[keep].astype(np.int64)), pa.array(who[keep]), pa.array(held[keep] > 0)], names=["token", "rep", "held"])
 
-    rows = sigs.where("n > 0 and doc_id is not null").select("doc_id", "cold")
-    return rows.mapInArrow(pack, "bucket int, tokens binary, ids binary").repartition("bucket").mapInArrow(meet, "token long, rep long")
+    rows = sigs.where("n > 0 and doc_id is not null").select("doc_id", "cold", "n_index")
+    return rows.mapInArrow(pack, "bucket int, tokens binary, ids binary, held binary").repartition("bucket").mapInArrow(meet, "token long, rep long, held boolean")
 
 
 def _bit(id_col: Column) -> Column:
@@ -230,85 +261,122 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "rep long, tokens binary")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) that link.  b's sets pass by a's one at a time.
+def verify(docs: DataFrame, pairs: DataFrame, members: DataFrame, space: list[str], percent: int = PERCENT) -> DataFrame:
+    """Open groups: pairs (g, q) and members (g, rep, one) -> the links (a, b) of q with members.
 
-    A node a with many partners is dealt over several tasks.
+    A task holds one group's sets (a block of them at most) and their union; queries
+    pass by one at a time, and only those that the union can satisfy meet the members.
+    ``one``: the members are linked already, so a single link is enough.  A group with
+    many queries is dealt over several tasks.
     """
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    sets = materialize(sets_of(docs, ids), "sets")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    left = parts.join(sets, F.col("a") == F.col("rep")).select("a", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("b"), "tokens")
-    many = pairs.join(parts.where("parts > 1"), "a", "left")
-    right = many.join(sets, F.col("b") == F.col("rep")).select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, []
+        key, own, union, one = None, [], None, False
         for batch in batches:
             a_out, b_out = [], []
-            for a, part, b, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if (a, part) != key:
-                    key, own = (a, part), []
+            for g, part, q, rep, single, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, part) != key:
+                    key, own, union = (g, part), [], None
                 t = np.frombuffer(t, np.uint64)
-                if b is None:
-                    own.append(t)
-                elif any(links(x, t, percent) for x in own):
-                    a_out.append(a)
-                    b_out.append(b)
+                if q is None:
+                    own.append((rep, t))
+                    one = single
+                    continue
+                if union is None:
+                    union = own[0][1] if len(own) == 1 else np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for _, x in own)]))
+                if not len(union):
+                    continue
+                at = np.minimum(np.searchsorted(union, t), len(union) - 1)
+                if 100 * np.count_nonzero(union[at] == t) < percent * len(t):
+                    continue
+                for rep, x in own:
+                    if rep != q and 100 * min(len(x), len(t)) >= percent * max(len(x), len(t)) and links(x, t, percent):
+                        a_out.append(rep)
+                        b_out.append(q)
+                        if one:
+                            break
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    rows = left.union(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long")
+    with scratch(docs.sparkSession) as own_space:
+        pairs = materialize(pairs, "pairs", own_space)
+        parts = pairs.groupBy("g").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+        held = materialize(members.join(parts, "g"), "opened", own_space)
+        ids = held.select(F.col("rep").alias("id")).union(pairs.select(F.col("q").alias("id")))
+        sets = materialize(sets_of(docs, ids), "sets", own_space)
+        left = held.join(sets, "rep").select("g", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("q"), "rep", "one", "tokens")
+        many = pairs.join(parts.where("parts > 1"), "g", "left")
+        right = many.join(sets, F.col("q") == F.col("rep")).select("g", F.pmod(F.xxhash64("q"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "q", "rep", F.lit(False).alias("one"), "tokens")
+        rows = left.union(right).repartition("g", "part").sortWithinPartitions("g", "part", F.col("q").asc_nulls_first())
+        return materialize(rows.mapInArrow(run, "a long, b long"), "verified", space)
 
 
 def _close(n: str, m: str) -> Column:
     return F.expr(f"100 * {n} >= {PERCENT} * {m} and 100 * {m} >= {PERCENT} * {n}")
 
 
+def _bound(m: str) -> str:
+    """SQL: s shared prefix tokens leave room for the intersection that sizes qn and m need.
+
+    Beyond the prefix that ends first, at most that set's remaining tokens can be shared.
+    """
+    rest_q = f"(qn * {PERCENT} + 99) div 100 - qn * {SPARE} div 100 - 1"
+    rest_m = f"({m} * {2 * PERCENT} + {99 + PERCENT}) div {100 + PERCENT} - {m} * {SPARE} div 100 - 1"
+    return f"s + greatest({rest_q}, {rest_m}, 0) >= ({PERCENT} * (qn + {m}) + {99 + PERCENT}) div {100 + PERCENT}"
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     docs = ids_and_text(documents, id_col, text_col)
-    sigs = materialize(signatures(docs, hot_tokens(docs)), "signatures")
-    some = sigs.where("n > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    reps = classes.select("rep", "n").distinct()
-
-    # 1. Groups of similar classes.
-    mins = some.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id = rep").select("rep", "n", F.posexplode("mins").alias("k", "v")).distinct()
-    first = mins.groupBy("k", "v").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).where("lead.rep <> last").select("k", "v", "lead")
-    pairs = mins.join(first, ["k", "v"]).where((F.col("rep") != F.col("lead.rep")) & _close("n", "lead.n")).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    near = materialize(verify(docs, pairs), "near")
-    comp = materialize(components(near), "groups")
-    sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    group = reps.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("component"))
-    group = group.join(sizes, "component", "left").select("rep", "n", "component", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
-    group = materialize(group, "matrix-groups")
-
-    # 2. The matrix: tokens by group, and what queries share with it.
-    warm = some.where(F.size("hot") > 0).join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id = rep").select(F.explode("hot").alias("token"), "rep")
-    posts = materialize(cold_postings(sigs).union(warm).join(group, "rep"), "postings")
-    shared = posts.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    posts = posts.join(shared, "token")
-    matrix = posts.groupBy("token", "component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    query = posts.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("component").alias("own"))
-    met = query.join(matrix, "token").where(f"own < component and 100 * high >= {PERCENT} * qn and 100 * qn >= {PERCENT} * low")
-    met = met.groupBy("q", "qn", "component", "block").agg(F.count("*").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # 3. The bound, at the smallest and the largest size that a member can have.
-    met = met.withColumn("low", F.greatest("low", F.expr(f"(qn * {PERCENT} + 99) div 100"))).withColumn("high", F.least("high", F.expr(f"qn * 100 div {PERCENT}")))
-    bound = "s + greatest((qn * {p} + 99) div 100, ({m} * {p} + 99) div 100) - 1 >= ({p} * (qn + {m}) + 99 + {p}) div (100 + {p})"
-    opened = met.where(f"({bound.format(p=PERCENT, m='low')}) or ({bound.format(p=PERCENT, m='high')})").select("q", "qn", "component", "block")
-    pairs = opened.join(group, ["component", "block"]).where(_close("qn", "n")).select(F.col("q").alias("a"), F.col("rep").alias("b")).distinct()
-    more = verify(docs, pairs)
-
-    final = components(more.union(comp.select("component", "node")))
-    named = classes.join(final, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
-    # A row's class may have a smaller id than the row; both are in one component.
-    out = sigs.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.expr("doc_id <=> component_id"))
+    with scratch(docs.sparkSession) as space:
+        sigs = materialize(signatures(docs, hot_tokens(docs)), "signatures", space)
+        some = sigs.where("n > 0 and doc_id is not null")
+        classes = materialize(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes", space)
+        reps = classes.select("rep", "n").distinct()
+
+        # 1. Groups of similar classes.
+        mins = some.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id = rep").select("rep", "n", F.posexplode("mins").alias("k", "v")).distinct()
+        mins = materialize(mins, "minimums", space)
+        first = mins.groupBy("k", "v").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+        met = mins.join(materialize(first, "leaders", space), ["k", "v"])
+        pairs = met.where((F.col("rep") != F.col("lead.rep")) & _close("n", "lead.n")).select(F.col("lead.rep").alias("g"), F.col("rep").alias("q")).distinct()
+        near = verify(docs, pairs, pairs.select("g", F.col("g").alias("rep"), F.lit(True).alias("one")).distinct(), space)
+        comp = components(near, space=space)
+        # Classes without a link are grouped by the minimum hash that most share.
+        most = met.groupBy("rep").agg(F.max(F.struct("c", F.xxhash64("k", "v").alias("key"))).alias("m")).select("rep", F.col("m.key").alias("key"))
+        group = reps.join(comp, F.col("rep") == F.col("node"), "left").join(most, "rep", "left")
+        group = group.select("rep", "n", F.coalesce("component", "rep").alias("component"), F.col("component").isNotNull().alias("one"), F.coalesce("component", "key", "rep").alias("set"))
+        sizes = group.groupBy("set").agg(F.count("*").alias("size")).where("size > 1")
+        alone = F.col("size").isNull()
+        group = group.join(sizes, "set", "left").select(
+            "rep", "n", "component", "one", F.when(alone, F.col("rep")).otherwise(F.col("set")).alias("set"),
+            F.when(alone, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).cast("int").alias("block"),
+        ).withColumn("g", F.xxhash64("set", "block"))
+        group = materialize(group, "matrix-groups", space)
+
+        # 2. The matrix: tokens by group, and what queries share with it.
+        warm = some.where(F.size("hot") > 0).join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id = rep")
+        warm = warm.select(F.posexplode("hot").alias("place", "token"), "rep", "n_hot_index").select("token", "rep", (F.col("place") < F.col("n_hot_index")).alias("held"))
+        posts = materialize(cold_postings(sigs).union(warm).join(group, "rep"), "postings", space)
+        shared = posts.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("held").alias("held")).where("x <> y and held").select("token")
+        posts = posts.join(shared, "token")
+        matrix = posts.where("held").groupBy("token", "set", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        query = posts.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("component").alias("own"))
+        # A query looks for sets of its own size or less.
+        met = query.join(matrix, "token").where(f"own <> set and low <= qn and 100 * high >= {PERCENT} * qn")
+        met = met.groupBy("q", "qn", "g").agg(F.count("*").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"))
+        # 3. The bound, at the smallest and the largest size that a member can have.
+        met = met.withColumn("low", F.greatest("low", F.expr(f"(qn * {PERCENT} + 99) div 100"))).withColumn("high", F.least("high", "qn"))
+        pairs = met.where(f"({_bound('low')}) or ({_bound('high')})").select("g", "q")
+        more = verify(docs, pairs, group.select("g", "rep", "one"), space)
+
+        final = components(more.union(comp.select("component", "node")), space=space)
+        named = classes.join(final, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
+        # A row's class may have a smaller id than the row; both are in one component.
+        out = sigs.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+        linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return materialize(out.withColumn("kept", F.expr("doc_id <=> component_id")), "near-duplicates")
 
 
 ORACLE = """
