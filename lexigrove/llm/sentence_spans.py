@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices
+from .common import materialize, scratch, slices
 
 #: A sentence ends after closing marks followed by white space, or with its line.
 _END = re.compile(rb"[.!?]+[\"')\]]*[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
@@ -86,17 +86,20 @@ def span_hashes(docs: DataFrame, id_col: str, text_col: str, min_sentences: int,
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 16) -> DataFrame:
     """id, tid, cut: for each document with repeated runs, the runs to cut as (first, n)."""
-    spans = materialize(span_hashes(docs, id_col, text_col, min_sentences, min_words), "spans")
-    place = F.struct("id", "tid", "first")
-    # Rows that repeat id and text give equal places, so distinct places tell a repeat.
-    seen = spans.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("h1", "h2", "keep")
-    cut = spans.join(seen, ["h1", "h2"]).where(~place.eqNullSafe(F.col("keep")))
-    return cut.groupBy("id", "tid").agg(F.collect_set(F.struct("first", "n")).alias("cut"))
+    with scratch(docs.sparkSession) as space:
+        spans = materialize(span_hashes(docs, id_col, text_col, min_sentences, min_words), "spans", space)
+        place = F.struct("id", "tid", "first")
+        # Rows that repeat id and text give equal places, so distinct places tell a repeat.
+        seen = spans.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("h1", "h2", "keep")
+        # Written first: both sides of the join are then dealt anew, and a hot run's partition can be split.
+        seen = materialize(seen, "repeats", space)
+        cut = spans.join(seen, ["h1", "h2"]).where(~place.eqNullSafe(F.col("keep")))
+        return materialize(cut.groupBy("id", "tid").agg(F.collect_set(F.struct("first", "n")).alias("cut")), "cuts")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 16, report: bool = False) -> DataFrame:
     """``docs`` without the repeated sentences; ``report`` adds n_sentences and n_removed."""
-    cut = materialize(repeated_sentences(docs, id_col, text_col, min_sentences, min_words), "cuts").withColumnsRenamed({"id": "__id", "tid": "__tid", "cut": "__cut"})
+    cut = repeated_sentences(docs, id_col, text_col, min_sentences, min_words).withColumnsRenamed({"id": "__id", "tid": "__tid", "cut": "__cut"})
     added = ["n_sentences", "n_removed"] if report else []
     rest = [c for c in docs.columns if c != text_col and c not in added]
     joined = docs.join(cut, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__tid")), "left")
