@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's documents are put in a fixed hashed order and cut into blocks.
-With weight w out of a period of D slots, the source's i-th block may run from
-slot floor(i*D/w) and must have run before slot ceil((i+1)*D/w); the earliest
-deadline goes first (ties: the source that stands first by name).  At every slot
-each source has then had its exact share but for less than one block.
+With a share w of all weights, the source's i-th block may run from slot
+floor(i/w) and must have run before slot ceil((i+1)/w); the earliest deadline goes
+first (ties: the source that stands first by name).  At every slot each source has
+then had its exact share but for less than one block.
 
-The schedule of one period is all that is computed on the driver; each block's
-slot follows from it in closed form.  When a source has no blocks left, a new
-phase begins with the weights of the rest, so every document gets a slot.
+Shares are exact fractions of the given weights.  Shares rounded to a period are
+used for a phase only where every block still keeps its exact window.  When a source
+has no blocks left, a new phase begins with the weights of the rest, so every
+document gets a slot.  The driver schedules blocks one by one and holds three
+numbers for each; they reach the documents by a broadcast.
 
 Defined results: a null source is the source ''; repeated rows keep a slot each;
 ties in the hashed order are settled by id and text; an empty table gives no
@@ -18,8 +20,13 @@ rows; a source missing from given weights gets the smallest given weight.
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +34,8 @@ from pyspark.sql import Window
 
 #: Buckets of the hashed order within a source; a hot source is ranked in so many parts.
 BUCKETS = 1024
+#: Consecutive blocks of a source in one row of the plan.
+CHUNK = 1024
 
 
 def integer_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -64,35 +73,81 @@ def edf(weights: Mapping[str, int], period: int) -> dict[str, list[int]]:
     return slots
 
 
-def plan(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> list[tuple]:
-    """Phases: (source, phase, first block, end block, weight, base slot, slots of a period)."""
-    left, done, base, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    phase = 0
+def exact_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportion of the weights."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in parts.values()))
+    out = {s: int(x * scale) for s, x in parts.items()}
+    common = math.gcd(*out.values())
+    return {s: w // common for s, w in out.items()}
+
+
+def run_phase(left: Mapping[str, int], weights: Mapping[str, int], target: Mapping[str, int] | None = None) -> dict[str, tuple[array, array, array]] | None:
+    """By source the slots, releases and deadlines of its blocks until the first source of ``left`` runs out.
+
+    With ``target`` weights: None as soon as a block misses its window under those.
+    """
+    size, goal = sum(weights.values()), sum((target or weights).values())
+    out = {s: (array("q"), array("q"), array("q")) for s in left}
+    waiting = [(0, s) for s in sorted(left)]  # by release
+    ready: list[tuple[int, str]] = []  # by deadline
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            release, s = heapq.heappop(waiting)
+            slots, releases, deadlines = out[s]
+            deadline = -(-(len(slots) + 1) * size // weights[s])
+            releases.append(release)
+            deadlines.append(deadline)
+            heapq.heappush(ready, (deadline, s))
+        _, s = heapq.heappop(ready)  # never empty: the shares fill every slot
+        slots = out[s][0]
+        i = len(slots)
+        if target is not None and not i * goal // target[s] <= t < -(-(i + 1) * goal // target[s]):
+            return None
+        slots.append(t)
+        t += 1
+        if i + 1 == left[s]:
+            break
+        heapq.heappush(waiting, ((i + 1) * size // weights[s], s))
+    # A block that is due but hasn't run by the end would be a whole block behind.
+    if target is not None and any((len(out[s][0]) + 1) * goal <= t * target[s] for s in left):
+        return None
+    return {s: (x, y[: len(x)], z[: len(x)]) for s, (x, y, z) in out.items()}
+
+
+def plan(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> dict[str, list[np.ndarray]]:
+    """By source four arrays over its blocks: phase, slot, release, deadline."""
+    left, base, phase = {s: n for s, n in blocks.items() if n}, 0, 0
+    out = {s: [array("q") for _ in range(4)] for s in left}
     while left:
-        share = integer_weights({s: weights[s] for s in left}, max(period, len(left)))
-        size = sum(share.values())
-        slots = edf(share, size)
-        # The phase ends after the slot in which the first source runs out.
-        end = 1 + min((n - 1) // share[s] * size + slots[s][(n - 1) % share[s]] for s, n in left.items())
-        whole, rest = divmod(end, size)
-        for s in list(left):
-            took = whole * share[s] + sum(t < rest for t in slots[s])
-            if took:
-                out.append((s, phase, done[s], done[s] + took, share[s], size, base, slots[s]))
-            done[s] += took
-            left[s] -= took
+        exact = exact_weights({s: weights[s] for s in left})
+        total, found = sum(exact.values()), None
+        if all(w * period >= total for w in exact.values()):
+            found = run_phase(left, integer_weights({s: weights[s] for s in left}, period), exact)
+        found = found or run_phase(left, exact)
+        for s, (slots, releases, deadlines) in found.items():
+            out[s][0].extend([phase] * len(slots))
+            for own, part in zip(out[s][1:], (slots, releases, deadlines)):
+                own.extend(x + base for x in part)
+            left[s] -= len(slots)
             if not left[s]:
                 del left[s]
-        base += end
+        base += sum(len(x) for x, _, _ in found.values())
         phase += 1
-    return out
+    return {s: [np.frombuffer(x, np.int64) for x in columns] for s, columns in out.items()}
+
+
+PLAN = ("phase", "slot", "release", "deadline")
+PLAN_SCHEMA = T.StructType([T.StructField("__s", T.StringType()), T.StructField("__chunk", T.LongType()), *(T.StructField(f"__{c}s", T.ArrayType(T.LongType())) for c in PLAN)])
 
 
-PLAN_SCHEMA = T.StructType(
-    [T.StructField("__s", T.StringType())]
-    + [T.StructField(c, T.LongType()) for c in ("__phase", "__first", "__end", "__w", "__d", "__base")]
-    + [T.StructField("__slots", T.ArrayType(T.LongType()))]
-)
+def plan_table(planned: Mapping[str, list[np.ndarray]]) -> pa.Table:
+    """A row for each source and chunk of blocks."""
+    keys = [(s, k) for s, x in planned.items() for k in range(-(-len(x[0]) // CHUNK))]
+    edges = np.cumsum([0, *(min(CHUNK, len(planned[s][0]) - k * CHUNK) for s, k in keys)])
+    lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[c] for x in planned.values())]))) for c in range(len(PLAN))]
+    return pa.table([pa.array([s for s, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int64()), *lists], names=PLAN_SCHEMA.names)
 
 
 OUT = ("block", "phase", "slot", "release", "deadline", "place")
@@ -112,18 +167,13 @@ def _scheduled(docs: DataFrame, weights: Mapping[str, float] | None, block_docs:
         weights = {s: n**tempering for s, n in sizes.items()}
     least = min((w for w in weights.values() if w > 0), default=1.0)
     weights = {s: weights.get(s) if (weights.get(s) or 0) > 0 else least for s in sizes}
-    table = spark.createDataFrame(plan({s: -(-n // block_docs) for s, n in sizes.items()}, weights, period), PLAN_SCHEMA)
+    table = spark.createDataFrame(plan_table(plan({s: -(-n // block_docs) for s, n in sizes.items()}, weights, period)), PLAN_SCHEMA)
 
     order = Window.partitionBy("__source", "__bucket").orderBy("__h", F.col(id_col), F.xxhash64(F.col(text_col)))
     ranked = rows.withColumn("__rank", F.row_number().over(order) - 1).join(starts, ["__source", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__start"))
     ranked = ranked.withColumn("__block", F.floor(F.col("__rank") / block_docs).cast("long")).withColumn("__place", F.pmod("__rank", F.lit(block_docs)).cast("long"))
-    out = ranked.join(F.broadcast(table), F.expr("__source = __s and __block >= __first and __block < __end"))
-    return (
-        out.withColumn("__i", F.col("__block") - F.col("__first"))
-        .withColumn("__slot", F.col("__base") + F.expr("__i div __w * __d") + F.get("__slots", F.pmod("__i", "__w").cast("int")))
-        .withColumn("__release", F.expr("__base + (__i * __d) div __w"))
-        .withColumn("__deadline", F.expr("__base + ((__i + 1) * __d + __w - 1) div __w"))
-    )
+    out = ranked.withColumn("__chunk", F.expr(f"__block div {CHUNK}")).join(F.broadcast(table).withColumnRenamed("__s", "__source"), ["__source", "__chunk"])
+    return out.withColumns({f"__{c}": F.get(f"__{c}s", F.pmod("__block", F.lit(CHUNK)).cast("int")) for c in PLAN})
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs: int = 16, period: int = 1000, max_sources: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tempering: float = 0.5) -> DataFrame:
@@ -131,7 +181,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs:
 
     ``weights``: target weight by source; by default each source's number of
     documents to the power ``tempering``, which evens out large and small ones.
-    The plan has a row for each source and phase, at most ``max_sources`` squared.
+    ``period``: slots of a round of rounded shares, where these keep the exact windows.
     Columns of ``docs`` with these names give way to the new ones.
     """
     rows = _scheduled(docs, weights, block_docs, period, max_sources, id_col, source_col, text_col, tempering)

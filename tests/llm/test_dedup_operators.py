@@ -223,3 +223,20 @@ def test_mix_matches_brute_force(spark):
     ordered = pfair_mix.in_order(df, weights, block_docs=4, period=10)
     assert ordered.columns == df.columns and ordered.count() == len(rows) + 2
     assert pfair_mix.mix(docs(spark, [])).collect() == []
+
+
+def test_mix_keeps_exact_target_weights():
+    cases = [({"hot": 9000, **{f"s{i:02}": 900 for i in range(20)}}, 0.5), ({"a": 4000, "b": 4000, "c": 4000}, 0.5), ({"hot": 3000, **{f"s{i:03}": 20 for i in range(999)}}, 0.5), ({"a": 700, "b": 41, "c": 5}, 0.3)]
+    for blocks, power in cases:
+        weights = {s: n**power for s, n in blocks.items()}
+        planned = pfair_mix.plan(blocks, weights, 1000)
+        assert sorted(t for x in planned.values() for t in x[1].tolist()) == list(range(sum(blocks.values())))
+        n = sum(int((x[0] == 0).sum()) for x in planned.values())  # slots of the first phase
+        total = sum(Fraction(w) for w in weights.values())
+        for s, (phase, slot, release, deadline) in planned.items():
+            w, first = Fraction(weights[s]) / total, slot[phase == 0].tolist()
+            # The share is furthest off just before and just after a block, and at the end.
+            for i, t in enumerate(first):
+                assert t * w - i < 1 and i + 1 - (t + 1) * w < 1
+            assert abs(len(first) - n * w) < 1
+            assert (release <= slot).all() and (slot < deadline).all()
