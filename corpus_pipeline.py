@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet in the shared checkpoint folder and read again as the next stage's docs.
-All stages but the last return the columns of ``documents``.
+The first three stages return the columns of ``documents``; mixing adds slot and place
+(see op8_pfair_mix), which the result carries: sorted by (slot, place) it is in mixed
+order, whatever the order in which its files are read.
 """
 
 from __future__ import annotations
@@ -40,12 +42,12 @@ def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixing schedule."""
-    return pfair_mix.in_order(docs)
+    """All documents with their slot and place in the mixing schedule."""
+    return pfair_mix.with_places(docs)
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids (ids) and their number (n_tokens)."""
+    """The documents, slot and place with their piece ids (ids) and their number (n_tokens)."""
     rows = sentencepiece_unigram.encode(docs, sentencepiece_unigram.load())
     return rows.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"))
 

@@ -153,7 +153,7 @@ def plan_table(planned: Mapping[str, list[np.ndarray]]) -> pa.Table:
 OUT = ("block", "phase", "slot", "release", "deadline", "place")
 
 
-def _scheduled(docs: DataFrame, weights: Mapping[str, float] | None, block_docs: int, period: int, max_sources: int, id_col: str, source_col: str, text_col: str, tempering: float) -> DataFrame:
+def _scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs: int = 16, period: int = 1000, max_sources: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tempering: float = 0.5) -> DataFrame:
     """``docs`` with the columns of OUT, each named with two underscores before it."""
     spark = docs.sparkSession
     rows = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("__h", F.xxhash64(F.col(id_col))).withColumn("__bucket", F.pmod("__h", F.lit(BUCKETS)).cast("int"))
@@ -192,3 +192,10 @@ def in_order(docs: DataFrame, weights: Mapping[str, float] | None = None, block_
     """``docs`` as they are, all of them, sorted by slot and place (files and rows in mixed order)."""
     rows = _scheduled(docs, weights, block_docs, period, max_sources, id_col, source_col, text_col, tempering)
     return rows.orderBy("__slot", "__place").select(*docs.columns)
+
+
+def with_places(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with slot and place, which say the mixed order however its files are read; sorted by them."""
+    rest = [c for c in docs.columns if c not in ("slot", "place")]
+    rows = _scheduled(docs, **how)
+    return rows.orderBy("__slot", "__place").select(*rest, F.col("__slot").alias("slot"), F.col("__place").alias("place"))

@@ -143,3 +143,18 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert 50 not in out and 51 not in out and passage[:20] in out[6].text and passage[:20] not in out.get(52, out[6]).text or 52 not in out
     stage = corpus_pipeline.STAGES[1][1](spark, df, str(tmp_path))
     assert stage.columns == df.columns
+
+
+def test_pipeline_result_carries_the_mixed_order(spark, tmp_path):
+    import corpus_pipeline
+    from lexigrove.llm import pfair_mix
+
+    english = "the cat sat on the mat and the dog lay by the door of the house"
+    rows = [(i, " ".join(f"{w}{(i * 7 + k) % 97}x{i}" for k, w in enumerate(english.split())) + " " + english, "en", "ab"[i % 5 == 0], 1) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.run(spark, str(tmp_path)).repartition(3).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out").orderBy("slot", "place").collect()
+    want = pfair_mix.mix(df).orderBy("slot", "place").collect()
+    assert [(r.doc_id, r.slot, r.place) for r in out] == [(r.doc_id, r.slot, r.place) for r in want]
+    assert len({(r.slot, r.place) for r in out}) == len(rows)
