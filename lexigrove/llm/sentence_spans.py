@@ -1,10 +1,16 @@
 """Substring dedup: sliding sentence spans.
 
-Every run of several consecutive sentences is hashed (128 bits): from each
-sentence, the shortest run of at least ``min_sentences`` sentences that has at
-least ``min_words`` words.  Equal hashes meet in one global join; of each
-repeated run the first by (doc_id, text hash, sentence) stays, and every sentence
-covered by another is removed.
+Texts are cut into sentences, and sentences of over ``LONG`` words (unmarked texts
+too) into parts of at most ``ANCHOR`` words, at places that follow from the words
+nearby alone; below, a part counts as a sentence.  Characters of scripts without
+blanks between words (Han, kana, Thai, Lao, Khmer, Burmese) count as words.
+
+Hashed (128 bits) are, from each sentence, the shortest run of at least
+``min_sentences`` sentences that has at least ``min_words`` words, and the shortest
+run of one sentence or more that has so many.  Equal hashes meet in one global join;
+of each repeated run the first by (doc_id, text hash, sentence) stays, and every
+sentence covered by another is removed.  A repeated stretch of over 50 words
+(same sentence marks) holds a whole run, wherever its edges fall.
 
 Defined results: a null text stays null, an empty one empty, with no sentences;
 rows that repeat both id and text are one document and are cut alike; a run
@@ -29,32 +35,80 @@ from .common import materialize, scratch, slices
 _END = re.compile(rb"[.!?]+[\"')\]]*[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
 
 
+#: A sentence of more words is cut at anchors: of any ANCHOR words in a row, the first with the least hash.
+LONG, ANCHOR = 17, 16
+#: A character of a script without blanks is a word.
+_DENSE = rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xb3][\x80-\xbf]{2}"
+_HAS_DENSE = re.compile(_DENSE)
+_WORD = re.compile(rb"\S+")
+_DENSE_WORD = re.compile(rb"(?:" + _DENSE + rb")|(?:(?!" + _DENSE + rb")\S)+")
+
+
+def word_pattern(text: bytes) -> re.Pattern | None:
+    """The pattern of the text's words; None where blanks alone part them."""
+    return None if text.isascii() or not _HAS_DENSE.search(text) else _DENSE_WORD
+
+
+def words_of(text: bytes, pattern: re.Pattern | None) -> list[bytes]:
+    return text.split() if pattern is None else pattern.findall(text)
+
+
+def anchors(words: list[bytes]) -> list[int]:
+    """Places of the words before which a long sentence is cut."""
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    out, best = [], -1
+    for end in range(ANCHOR, len(h) + 1):
+        if best < end - ANCHOR:  # the least one has left the window
+            best = end - ANCHOR
+            for i in range(best + 1, end):
+                if h[i] < h[best]:
+                    best = i
+        elif h[end - 1] < h[best]:
+            best = end - 1
+        if not out or out[-1] != best:
+            out.append(best)
+    return out
+
+
 def sentences(text: bytes) -> list[tuple[int, int]]:
     """Byte ranges that cover the whole text; each holds its trailing white space."""
-    out, at = [], 0
-    for m in _END.finditer(text):
-        if m.end() > at:
-            out.append((at, m.end()))
-            at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
+    out: list[tuple[int, int]] = []
+    at, dense = 0, word_pattern(text)
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        if end <= at:
+            continue
+        # So many words need as many bytes, and blanks between them.
+        words = words_of(text[at:end], dense) if end - at > 2 * LONG else ()
+        if len(words) > LONG:
+            places = [m.start() for m in (dense or _WORD).finditer(text, at, end)]
+            cuts = [places[i] for i in anchors(words) if i]
+            edges = [at, *cuts, end]
+            out.extend(zip(edges, edges[1:]))
+        else:
+            out.append((at, end))
+        at = end
     return out
 
 
 def runs(text: bytes, min_sentences: int, min_words: int) -> list[tuple[int, int, int]]:
     """(first sentence, number of sentences, 128-bit hash) of every run."""
-    words = [text[a:b].split() for a, b in sentences(text)]
+    dense = word_pattern(text)
+    words = [words_of(text[a:b], dense) for a, b in sentences(text)]
     sizes = [len(w) for w in words]
     plain = [b" ".join(w) for w in words]
-    out, end, total = [], 0, 0
-    for i in range(len(plain)):
-        while end < len(plain) and (end - i < min_sentences or total < min_words):
-            total += sizes[end]
-            end += 1
-        if end - i < min_sentences or total < min_words:
-            break
-        out.append((i, end - i, xxhash.xxh3_128_intdigest(b"\n".join(plain[i:end]))))
-        total -= sizes[i]
+    out = []
+    for least in sorted({1, min_sentences}):
+        end, total = 0, 0
+        for i in range(len(plain)):
+            while end < len(plain) and (end - i < least or total < min_words):
+                total += sizes[end]
+                end += 1
+            if end - i < least or total < min_words:
+                break
+            # The wider rule gives the same run but where fewer sentences have the words.
+            if least == min_sentences or end - i < min_sentences:
+                out.append((i, end - i, xxhash.xxh3_128_intdigest(b"\n".join(plain[i:end]))))
+            total -= sizes[i]
     return out
 
 

@@ -240,3 +240,37 @@ def test_mix_keeps_exact_target_weights():
                 assert t * w - i < 1 and i + 1 - (t + 1) * w < 1
             assert abs(len(first) - n * w) < 1
             assert (release <= slot).all() and (slot < deadline).all()
+
+
+def common_stretch(a, b):
+    """Words of the longest verbatim common stretch."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, *row)
+    return best
+
+
+@pytest.mark.parametrize("mark", [0, 5, 9, 16, 30, 70, 200])
+def test_every_repeated_stretch_of_over_50_words_is_cut(mark):
+    rng = random.Random(mark)
+    for trial in range(60):
+        word = lambda: f"w{rng.randrange(10**6)}" + (". " if mark and rng.randrange(mark) == 0 else " ")
+        stretch = [word() for _ in range(51)]
+        if trial % 5 == 0:  # few words, many ties
+            stretch = [rng.choice(["x ", "y "]) for _ in range(51)]
+        a, b = (("".join([word() for _ in range(rng.randrange(60))] + stretch + [word() for _ in range(rng.randrange(60))])).encode() for _ in range(2))
+        found = [{h for _, _, h in sentence_spans.runs(t, 2, 16)} for t in (a, b)]
+        assert found[0] & found[1], (trial, a, b)
+
+
+def test_long_and_unmarked_sentences_are_cut(spark):
+    rng = random.Random(1)
+    fill = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+    long = fill(60)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(150))
+    rows = [(1, long), (2, long), (3, f"{fill(20)} {long} {fill(20)}"), (4, f"{fill(9)}. {long}. {fill(9)}."), (5, han), (6, f"{han[20:120]}"), (7, fill(200))]
+    got = {r.doc_id: r.text for r in sentence_spans.cut_repeats(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got[1] == long and got[2] == "" and got[5] == han and got[7] == rows[6][1]
+    assert all(common_stretch(got[i].split(), long.split()) <= 50 for i in (3, 4))
+    assert len(got[6]) <= 50
