@@ -315,14 +315,25 @@ def _close(n: str, m: str) -> Column:
     return F.expr(f"100 * {n} >= {PERCENT} * {m} and 100 * {m} >= {PERCENT} * {n}")
 
 
-def _bound(m: str) -> str:
+def _bound(m: str, slack: int = 0) -> str:
     """SQL: s shared prefix tokens leave room for the intersection that sizes qn and m need.
 
     Beyond the prefix that ends first, at most that set's remaining tokens can be shared.
     """
     rest_q = f"(qn * {PERCENT} + 99) div 100 - qn * {SPARE} div 100 - 1"
     rest_m = f"({m} * {2 * PERCENT} + {99 + PERCENT}) div {100 + PERCENT} - {m} * {SPARE} div 100 - 1"
-    return f"s + greatest({rest_q}, {rest_m}, 0) >= ({PERCENT} * (qn + {m}) + {99 + PERCENT}) div {100 + PERCENT}"
+    return f"s + {slack} + greatest({rest_q}, {rest_m}, 0) >= ({PERCENT} * (qn + {m}) + {99 + PERCENT}) div {100 + PERCENT}"
+
+
+def _opens() -> str:
+    """SQL: the bound holds for some size from low to high.
+
+    But for its roundings the room less the need is convex in the size, so largest at an
+    end; the roundings (two up in the room, one up in the need) can hide at most 2.
+    """
+    ends = f"({_bound('low')}) or ({_bound('high')})"
+    near = f"({_bound('low', 2)}) or ({_bound('high', 2)})"
+    return f"{ends} or (high - low > 1 and ({near}) and exists(sequence(low + 1, high - 1), m -> {_bound('m')}))"
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,9 +376,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         # A query looks for sets of its own size or less.
         met = query.join(matrix, "token").where(f"own <> set and low <= qn and 100 * high >= {PERCENT} * qn")
         met = met.groupBy("q", "qn", "g").agg(F.count("*").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"))
-        # 3. The bound, at the smallest and the largest size that a member can have.
+        # 3. The bound, over the sizes that a member can have.
         met = met.withColumn("low", F.greatest("low", F.expr(f"(qn * {PERCENT} + 99) div 100"))).withColumn("high", F.least("high", "qn"))
-        pairs = met.where(f"({_bound('low')}) or ({_bound('high')})").select("g", "q")
+        pairs = met.where(_opens()).select("g", "q")
         more = verify(docs, pairs, group.select("g", "rep", "one"), space)
 
         final = components(more.union(comp.select("component", "node")), space=space)

@@ -274,3 +274,40 @@ def test_long_and_unmarked_sentences_are_cut(spark):
     assert got[1] == long and got[2] == "" and got[5] == han and got[7] == rows[6][1]
     assert all(common_stretch(got[i].split(), long.split()) <= 50 for i in (3, 4))
     assert len(got[6]) <= 50
+
+
+def test_a_group_opens_for_every_size_between(spark):
+    jm = group_matrix_join
+    need = lambda q, m: -(-75 * (q + m) // 175)
+
+    def least(q, m):
+        """Shared tokens within both prefixes with which sizes q and m can still link."""
+        return need(q, m) - max(q - jm.prefixes(q)[1], m - jm.prefixes(m)[0], 0)
+
+    rows = []
+    for q in range(5, 160):
+        sizes = range(-(-75 * q // 100), q + 1)
+        for low in sizes:
+            for high in range(low, q + 1, 3):
+                # One token fewer than any size needs, and just enough for one of them.
+                s = min(least(q, m) for m in range(low, high + 1))
+                rows += [(q, low, high, s, True), (q, low, high, s - 1, False)]
+    rows += [(29, 23, 28, 2, True)]
+    df = spark.createDataFrame(rows, "qn long, low long, high long, s long, want boolean")
+    assert df.where(f"({jm._opens()}) <> want").limit(5).collect() == []
+
+
+def test_jaccard_join_finds_mixed_sizes_at_exactly_75_percent(spark):
+    rng = random.Random(4)
+    rows, word = [], lambda: f"v{rng.randrange(10**9)}"
+    for _ in range(60):
+        # 24 shingles shared of 32: sizes 29 and 27; members of 23 and 28 shingles share less.
+        core = [word() for _ in range(28)]
+        texts = [core + [word() for _ in range(5)], core + [word() for _ in range(3)], core[:14] + [word() for _ in range(13)], core[:14] + [word() for _ in range(18)]]
+        rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate(texts)]
+    out = group_matrix_join.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows])).collect()
+    sets = {i: brute_shingles(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(pairs) == 60 and all(100 * len(sets[a] & sets[b]) == 75 * len(sets[a] | sets[b]) for a, b in pairs)
+    want = roots(sets, pairs)
+    assert {r.doc_id: r.component_id for r in out} == want
