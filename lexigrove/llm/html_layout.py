@@ -7,15 +7,17 @@ indentation, preformatted text as it stands, and tables with aligned columns.
 
 Defined results: null HTML gives null text, empty HTML empty text; an attribute whose
 quote is not closed ends at the next >; unclosed
-tags, comments and attributes end with the document; nesting deeper than
-``MAX_DEPTH`` is flattened, keeping its text; repeated rows are rendered alike.
+tags, comments and attributes end with the document; elements nest as deep as the
+page says, but beyond ``MAX_INDENT`` levels no more blanks are put before lines;
+repeated rows are rendered alike.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-MAX_DEPTH = 150
+#: Levels of lists, quotes and definitions that are indented.
+MAX_INDENT = 150
 #: Columns are padded to at most this width; longer cells are written whole.
 PAD_WIDTH = 40
 
@@ -77,21 +80,34 @@ class TreeBuilder:
         self.body = Node("body", {})
         self.root.children.append(self.body)
         self.stack = [self.body]
+        #: Places in the stack by tag, so that no search walks through deep nesting.
+        self.places: dict[str, list[int]] = {}
         self.hidden_selectors: set[str] = set()
 
     def text(self, data: str) -> None:
         self.stack[-1].children.append(data)
 
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, at: int) -> None:
+        """Close the open elements from place ``at`` on."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def nearest(self, tags: frozenset) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def close_until(self, tags: frozenset, barrier: frozenset) -> None:
         """Close the outermost open element of ``tags`` above the nearest barrier."""
-        at = None
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in barrier:
-                break
-            if self.stack[i].tag in tags:
-                at = i
-        if at is not None:
-            del self.stack[at:]
+        opened = [own for t in tags if (own := self.places.get(t))]
+        if not opened:
+            return
+        wall = self.nearest(barrier)
+        above = [own[k] for own in opened if (k := bisect_right(own, wall)) < len(own)]
+        if above:
+            self.close(min(above))
 
     def start(self, tag: str, attrs: dict[str, str], self_closing: bool) -> None:
         if tag in ("html", "body", "head"):
@@ -105,23 +121,21 @@ class TreeBuilder:
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.start("tr", {}, False)
         if tag[0] == "h" and tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.stack.pop()
+            self.close(len(self.stack) - 1)
         node = Node(tag, attrs)
         self.stack[-1].children.append(node)
-        if tag not in VOID and not (self_closing and tag in ("svg", "math", "path")) and len(self.stack) < MAX_DEPTH:
-            self.stack.append(node)
+        if tag not in VOID and not (self_closing and tag in ("svg", "math", "path")):
+            self.push(node)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", {}, False)
             return
         barrier = frozenset() if tag in ("table", "body", "html") else frozenset(("table",)) if tag in ("tr", "tbody", "thead", "tfoot") else frozenset(("td", "th", "table"))
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in barrier and self.stack[i].tag != tag:
-                break
+        own = self.places.get(tag)
+        if own and own[-1] > self.nearest(barrier - {tag}):
+            self.close(own[-1])
+            return
         if tag == "p":
             self.stack[-1].children.append(Node("p", {}))
 
@@ -154,6 +168,24 @@ def parse(source: str) -> TreeBuilder:
     return tree
 
 
+def finish(step: Generator) -> list[str]:
+    """The value of a generator that yields further generators for the values it needs.
+
+    Stands in for recursion, which deep pages would exhaust.
+    """
+    stack, value = [step], None
+    while stack:
+        try:
+            step = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(step)
+            value = None
+    return value
+
+
 class Renderer:
     def __init__(self, hidden_selectors: set[str]):
         self.selectors = hidden_selectors
@@ -173,8 +205,12 @@ class Renderer:
             return any(x in self.selectors or node.tag + x in self.selectors for x in names)
         return False
 
-    def lines(self, node: Node, pre: bool = False) -> list[str]:
-        """The lines of a block's content; an empty string is a blank line between blocks."""
+    def lines(self, node: Node, pre: bool = False, level: int = 0) -> Generator:
+        """The lines of a block's content (see finish); an empty string is a blank line between blocks.
+
+        ``level``: how many elements around it indent their lines.
+        """
+        indented = level < MAX_INDENT
         out: list[str] = []
         run: list[str] = []  # inline text since the last block
 
@@ -203,7 +239,7 @@ class Renderer:
             if spaced or not rows[-1]:
                 out.append("")
 
-        def walk(parent: Node) -> None:
+        def walk(parent: Node) -> Generator:
             number = _int(parent.attrs.get("start"), 1) if parent.tag == "ol" else None
             shut = parent.tag == "details" and "open" not in parent.attrs
             for child in parent.children:
@@ -218,39 +254,39 @@ class Renderer:
                 if shut and tag != "summary" or self.hidden(child):
                     continue
                 if tag == "table":
-                    block(self.table(child), True)
+                    block((yield self.table(child, level)), True)
                 elif tag == "li":
                     number = _int(child.attrs.get("value"), number) if number is not None else None
                     mark = "- " if number is None else f"{number}. "
                     number = None if number is None else number + 1
-                    rows = trimmed(self.lines(child, pre))
+                    rows = trimmed((yield self.lines(child, pre, level + 1)))
                     # A list inside an item follows its text without a blank line.
                     rows = [r for i, r in enumerate(rows) if r or not _listed(rows, i)]
-                    block([(mark if i == 0 else " " * len(mark) if r else "") + r for i, r in enumerate(rows)], False)
+                    block([(mark if i == 0 else " " * len(mark) if r and indented else "") + r for i, r in enumerate(rows)], False)
                 elif tag == "dd":
-                    block(["    " + r if r else r for r in self.lines(child, pre)], False)
+                    block(["    " + r if r and indented else r for r in (yield self.lines(child, pre, level + 1))], False)
                 elif tag == "blockquote":
-                    block(["  " + r if r else r for r in self.lines(child, pre)], True)
+                    block(["  " + r if r and indented else r for r in (yield self.lines(child, pre, level + 1))], True)
                 elif tag == "pre":
-                    block(self.lines(child, True), True)
+                    block((yield self.lines(child, True, level)), True)
                 elif tag == "hr":
                     flush()
                     if out and out[-1]:
                         out.append("")
                 elif tag in BLOCKS:
-                    block(self.lines(child, pre), tag in SPACED)
+                    block((yield self.lines(child, pre, level)), tag in SPACED)
                 else:
-                    walk(child)
+                    yield walk(child)
 
-        walk(node)
+        yield walk(node)
         flush()
         return out
 
-    def table(self, node: Node) -> list[str]:
+    def table(self, node: Node, level: int = 0) -> Generator:
         head: list[str] = []
         rows: list[list[tuple[list[str], int]]] = []
 
-        def collect(parent: Node) -> None:
+        def collect(parent: Node) -> Generator:
             for child in parent.children:
                 if isinstance(child, str):
                     if child.strip():
@@ -263,14 +299,18 @@ class Renderer:
                     if loose:
                         extra = Node("div", {})
                         extra.children = loose
-                        head.extend(trimmed(self.lines(extra)))
-                    rows.append([([r for r in trimmed(self.lines(c)) if r] or [""], max(1, min(1000, _int(c.attrs.get("colspan"), 1)))) for c in cells])
+                        head.extend(trimmed((yield self.lines(extra, False, level))))
+                    row: list[tuple[list[str], int]] = []
+                    for c in cells:
+                        text = yield self.lines(c, False, level)
+                        row.append(([r for r in trimmed(text) if r] or [""], max(1, min(1000, _int(c.attrs.get("colspan"), 1)))))
+                    rows.append(row)
                 elif child.tag in ("tbody", "thead", "tfoot"):
-                    collect(child)
+                    yield collect(child)
                 else:
-                    head.extend(trimmed(self.lines(child) if child.tag == "caption" else self.lines(_wrap(child))))
+                    head.extend(trimmed((yield self.lines(child if child.tag == "caption" else _wrap(child), False, level))))
 
-        collect(node)
+        yield collect(node)
         width: dict[int, int] = {}
         for row in rows:
             col = 0
@@ -321,7 +361,7 @@ def render(source: str | None) -> str | None:
     shown = Renderer(tree.hidden_selectors)
     if shown.hidden(tree.root) or shown.hidden(tree.body):
         return ""
-    return "\n".join(trimmed(shown.lines(tree.body)))
+    return "\n".join(trimmed(finish(shown.lines(tree.body))))
 
 
 def render_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

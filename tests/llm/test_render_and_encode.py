@@ -158,3 +158,18 @@ def test_pipeline_result_carries_the_mixed_order(spark, tmp_path):
     want = pfair_mix.mix(df).orderBy("slot", "place").collect()
     assert [(r.doc_id, r.slot, r.place) for r in out] == [(r.doc_id, r.slot, r.place) for r in want]
     assert len({(r.slot, r.place) for r in out}) == len(rows)
+
+
+@pytest.mark.parametrize("tag", ["font", "div", "span"])
+def test_deep_nesting_keeps_visibility_and_layout(tag):
+    deep = f"<{tag}>" * 400
+    page = f"<div hidden>a{deep}b<div>c</div></div>" if tag != "div" else f"<section hidden>a{deep}b<div>c</div></section>"
+    assert html_layout.render(page + "shown") == "shown"
+    got = html_layout.render(f"{deep}<p>one<p>two<i style='display:none'>no</i><table><tr><td>x<td>y</table><pre>a  b</pre><ul><li>l<li>m</ul><select><option>o</select>")
+    assert got == "one\n\ntwo\n\nx  y\n\na  b\n\n- l\n- m"
+
+
+def test_deep_quotes_and_lists_stay_bounded():
+    for tag in ("blockquote", "dd", "ul><li"):
+        got = html_layout.render(f"<{tag}>x" * 3000)
+        assert got.count("x") == 3000 and len(got) < 3000 * 5 * html_layout.MAX_INDENT
