@@ -10,6 +10,11 @@ quote is not closed ends at the next >; unclosed
 tags, comments and attributes end with the document; elements nest as deep as the
 page says, but beyond ``MAX_INDENT`` levels no more blanks are put before lines;
 repeated rows are rendered alike.
+
+Styles: rules of simple selectors (tag, .class, #id, tag.class, tag#id) for display and
+visibility, by importance, specificity and order, as on a light screen of ``SCREEN``
+pixels; @media by its condition, @supports without not and @layer as if they held,
+other at-rules not at all.  Descendant, pseudo and nested selectors are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections.abc import Generator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,13 +34,15 @@ from .common import map_arrow
 MAX_INDENT = 150
 #: Columns are padded to at most this width; longer cells are written whole.
 PAD_WIDTH = 40
+#: Width and height that media conditions are held against.
+SCREEN = {"width": 1280, "height": 800}
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select textarea".split())
-BLOCKS = frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption ul".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure menu dir".split())
+BLOCKS = frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption ul xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre xmp blockquote table figure menu dir".split())
 CLOSES_P = BLOCKS - frozenset(("body", "html", "caption", "legend", "dd", "dt", "li")) | frozenset(("li", "dd", "dt"))
 #: A start tag closes an open element of the set, up to the nearest barrier.
 IMPLIED_END = {
@@ -54,8 +61,12 @@ HEAD_ONLY = frozenset("base link meta title style script template".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?--!?>|.*)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?|[^<]++|<", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_CSS_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_CSS_MARK = re.compile(r"/\*(?:.*?\*/|.*)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+_COMMENT = re.compile(r"/\*(?:.*?\*/|.*)", re.S)
+_MEDIA = re.compile(r"\s*(not\b|only\b)?\s*([a-z-]+(?=\s|\Z))?", re.I)
+_FEATURE = re.compile(r"\(([^()]*)\)")
+_LENGTH = re.compile(r"(\d*\.?\d+)\s*(px|r?em|)\Z")
+_RANGE = re.compile(r"(?:([\d.a-z]+)\s*([<>]=?))?\s*(width|height)\s*(?:([<>]=?|=)\s*([\d.a-z]+))?\Z")
 _SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*)?[.#]?[\w-]+\Z", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -74,6 +85,92 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _pixels(value: str) -> float | None:
+    m = _LENGTH.match(value.strip())
+    return None if m is None else float(m[1]) * (16 if m[2] in ("em", "rem") else 1)
+
+
+def _compare(a: float | None, sign: str, b: float | None) -> bool:
+    if a is None or b is None:
+        return False
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b}[sign]
+
+
+def _feature_holds(feature: str) -> bool:
+    name, colon, value = (x.strip() for x in feature.partition(":"))
+    if colon:
+        end, _, side = name.partition("-")
+        if end in ("min", "max") and side in SCREEN:
+            return _compare(SCREEN[side], ">=" if end == "min" else "<=", _pixels(value))
+        known = {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine"}
+        return known.get(name) == value
+    m = _RANGE.match(name)
+    if m is None:
+        return name in ("color", "hover", "any-hover", "pointer", "any-pointer")
+    side = SCREEN[m[3]]
+    return (m[1] is None or _compare(_pixels(m[1]), m[2], side)) and (m[4] is None or _compare(side, m[4], _pixels(m[5])))
+
+
+def media_holds(query: str) -> bool:
+    """Whether a media query list holds on the screen; unknown conditions don't."""
+
+    def one(q: str) -> bool:
+        m = _MEDIA.match(q)
+        rest = q[m.end() :]
+        parts = [_feature_holds(f) for f in _FEATURE.findall(rest)]
+        holds = (any if re.search(r"\)\s*or\b", rest) else all)(parts) and (m[2] or "all") in ("all", "screen")
+        return holds != (m[1] == "not")
+
+    return not query.strip() or any(one(q.strip()) for q in query.lower().split(","))
+
+
+def _at_rule_holds(prelude: str) -> bool:
+    name, _, rest = prelude[1:].replace("(", " (", 1).partition(" ")
+    name = name.strip().lower()
+    if name == "media":
+        return media_holds(rest)
+    return name == "supports" and not rest.strip().lower().startswith("not") or name == "layer"
+
+
+def css_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on the screen; open blocks end with the text."""
+    open_: list[tuple[bool, str | None, list[str]]] = []  # holds, selectors (None: a group), declarations
+    start = 0
+    marks = [(m.start(), m.end(), m[0]) for m in _CSS_MARK.finditer(css) if m[0] in "{};"]
+    for a, z, mark in [*marks, *[(len(css), len(css), "}")] * sum(m[2] == "{" for m in marks)]:
+        piece, start = _COMMENT.sub(" ", css[start:a]).strip(), max(start, z)
+        if mark == "{":
+            piece = piece.removeprefix("<!--").strip()
+            # What stands within a rule is not held.
+            holds = not open_ or open_[-1][0] and open_[-1][1] is None
+            if piece.startswith("@"):
+                open_.append((holds and _at_rule_holds(" ".join(piece.split())), None, []))
+            else:
+                open_.append((holds, piece, []))
+            continue
+        if not open_:
+            continue
+        open_[-1][2].append(piece)
+        if mark == "}":
+            holds, selectors, own = open_.pop()
+            if holds and selectors is not None:
+                yield selectors, ";".join(own)
+
+
+def shown_by(declarations: str) -> dict[str, tuple[bool, bool]]:
+    """display and visibility: (important, hides), as far as declared."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for part in declarations.lower().split(";"):
+        name, colon, value = (x.strip() for x in part.partition(":"))
+        if not colon or name not in ("display", "visibility"):
+            continue
+        plain, bang, rest = value.partition("!")
+        important, plain = bang == "!" and rest.strip() == "important", plain.strip()
+        if plain and (important or not out.get(name, (False, False))[0]):
+            out[name] = (important, plain == "none" if name == "display" else plain in ("hidden", "collapse"))
+    return out
+
+
 class TreeBuilder:
     def __init__(self) -> None:
         self.root = Node("html", {})
@@ -82,7 +179,23 @@ class TreeBuilder:
         self.stack = [self.body]
         #: Places in the stack by tag, so that no search walks through deep nesting.
         self.places: dict[str, list[int]] = {}
-        self.hidden_selectors: set[str] = set()
+        #: selector -> property -> (important, specificity, order, hides) of the rule that wins.
+        self.styles: dict[str, dict[str, tuple[bool, int, int, bool]]] = {}
+        self.n_rules = 0
+
+    def style(self, css: str) -> None:
+        for selectors, body in css_rules(css):
+            self.n_rules += 1
+            found = shown_by(body)
+            if not found:
+                continue
+            for x in (x.strip().lower() for x in selectors.split(",")):
+                if not _SIMPLE.match(x):
+                    continue
+                rank = (100 if "#" in x else 10 if "." in x else 0) + (x[0] not in "#.")
+                own = self.styles.setdefault(x, {})
+                for name, (important, hides) in found.items():
+                    own[name] = max(own.get(name, (False, -1, -1, False)), (important, rank, self.n_rules, hides))
 
     def text(self, data: str) -> None:
         self.stack[-1].children.append(data)
@@ -156,14 +269,15 @@ def parse(source: str) -> TreeBuilder:
         if closing:
             tree.end(tag)
             continue
-        tree.start(tag, attributes(raw) if raw and not raw.isspace() else {}, raw.rstrip().endswith("/"))
+        attrs = attributes(raw) if raw and not raw.isspace() else {}
+        tree.start(tag, attrs, raw.rstrip().endswith("/"))
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(source, at)
             content = source[at : stop.start()]
-            if tag == "style":
-                for selectors, body in _CSS_RULE.findall(content):
-                    if _NOT_SHOWN.search(body):
-                        tree.hidden_selectors.update(x.strip().lower() for x in selectors.split(",") if _SIMPLE.match(x.strip()))
+            if tag == "style" and media_holds(attrs.get("media", "")):
+                tree.style(content)
+            elif tag == "xmp":
+                tree.text(content)
             at = stop.start()
     return tree
 
@@ -187,23 +301,29 @@ def finish(step: Generator) -> list[str]:
 
 
 class Renderer:
-    def __init__(self, hidden_selectors: set[str]):
-        self.selectors = hidden_selectors
+    def __init__(self, styles: dict[str, dict[str, tuple[bool, int, int, bool]]]):
+        self.styles = styles
 
     def hidden(self, node: Node) -> bool:
-        if node.tag in HIDDEN:
+        if node.tag in HIDDEN or node.tag == "input":
             return True
         a = node.attrs
-        if not a:
-            return node.tag in self.selectors or node.tag == "dialog"
-        if "hidden" in a or node.tag == "input" or node.tag == "dialog" and "open" not in a:
-            return True
-        if "style" in a and _NOT_SHOWN.search(a["style"]):
-            return True
-        if self.selectors:
-            names = [node.tag, *("." + c for c in a.get("class", "").lower().split()), "#" + a.get("id", "").lower()]
-            return any(x in self.selectors or node.tag + x in self.selectors for x in names)
-        return False
+        won: dict[str, tuple[bool, int, int, bool]] = {}
+        if self.styles:
+            names = [node.tag]
+            if a:
+                marks = [*("." + c for c in a.get("class", "").lower().split()), *("#" + a["id"].lower() for _ in "x" if "id" in a)]
+                names += marks + [node.tag + x for x in marks]
+            for x in names:
+                for name, rule in self.styles.get(x, {}).items():
+                    won[name] = max(won.get(name, rule), rule)
+        if "style" in a:
+            for name, (important, hides) in shown_by(a["style"]).items():
+                rule = (important, 1000, 0, hides)
+                won[name] = max(won.get(name, rule), rule)
+        # What the browser hides by itself, a page's display rule can show.
+        display = won["display"][3] if "display" in won else "hidden" in a or node.tag == "dialog" and "open" not in a
+        return display or "visibility" in won and won["visibility"][3]
 
     def lines(self, node: Node, pre: bool = False, level: int = 0) -> Generator:
         """The lines of a block's content (see finish); an empty string is a blank line between blocks.
@@ -267,7 +387,7 @@ class Renderer:
                     block(["    " + r if r and indented else r for r in (yield self.lines(child, pre, level + 1))], False)
                 elif tag == "blockquote":
                     block(["  " + r if r and indented else r for r in (yield self.lines(child, pre, level + 1))], True)
-                elif tag == "pre":
+                elif tag in ("pre", "xmp"):
                     block((yield self.lines(child, True, level)), True)
                 elif tag == "hr":
                     flush()
@@ -358,7 +478,7 @@ def render(source: str | None) -> str | None:
     if source is None:
         return None
     tree = parse(source)
-    shown = Renderer(tree.hidden_selectors)
+    shown = Renderer(tree.styles)
     if shown.hidden(tree.root) or shown.hidden(tree.body):
         return ""
     return "\n".join(trimmed(finish(shown.lines(tree.body))))

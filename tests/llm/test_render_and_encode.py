@@ -173,3 +173,38 @@ def test_deep_quotes_and_lists_stay_bounded():
     for tag in ("blockquote", "dd", "ul><li"):
         got = html_layout.render(f"<{tag}>x" * 3000)
         assert got.count("x") == 3000 and len(got) < 3000 * 5 * html_layout.MAX_INDENT
+
+
+STYLES = {
+    "@media print { .c { display:none } }": True,
+    "@media screen { .c { display:none } }": False,
+    "@media (max-width: 600px) { .c { display:none } }": True,
+    "@media only screen and (min-width: 40em) { .c { display:none } }": False,
+    "@media not print { .c { display:none } }": False,
+    "@media print, (width >= 600px) { .c { display:none } }": False,
+    "@media print { .x { color: red } .c { display:none } } .y { color: red }": True,
+    "@supports not (display: grid) { .c { display:none } }": True,
+    "@import url(x.css); @charset 'u'; .c { display:none }": False,
+    "@font-face { src: url('a{b') } .c { display:none }": False,
+    ".c { display:none } .c { display:block }": True,
+    ".c { display:block } .c { display:none }": False,
+    ".c { display:none !important } .c { display:block }": False,
+    "#i { display:block } .c { display:none }": True,
+    "div { display:none } .c { display:block }": True,
+    ".c { display:none; display:block }": True,
+    "/* .c { display:none } */": True,
+    ".c { /* } */ display:none }": False,
+    ".c { display:none": False,
+}
+
+
+@pytest.mark.parametrize("css", STYLES)
+def test_styles_follow_the_cascade(css):
+    got = html_layout.render(f"<style>{css}</style><div class='c' id='i'>text</div>end")
+    assert got == ("text\nend" if STYLES[css] else "end")
+
+
+def test_xmp_and_style_of_another_medium_are_shown():
+    assert html_layout.render("a<xmp>\n <b>x</b>  &amp;\n</xmp>b") == "a\n\n <b>x</b>  &amp;\n\nb"
+    assert html_layout.render("<style media=print>p{display:none}</style><p>seen") == "seen"
+    assert html_layout.render("<style>.m{display:flex}</style><div hidden class=m>seen</div><div hidden>no</div>") == "seen"
