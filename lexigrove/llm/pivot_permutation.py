@@ -180,7 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, prefix: int = 6,
     with scratch(vectors.sparkSession) as space:
         classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes", space)
         found = None
-        for (size,) in sorted(classes.groupBy(F.size("embedding")).count().select(F.col("size(embedding)")).limit(64).collect()):
+        for (size,) in sorted(classes.groupBy(F.size("embedding")).count().select(F.col("size(embedding)")).collect()):
             part = _link(classes.where(F.size("embedding") == size), kind, threshold, prefix, n_pivots, chunk, sample_rows)
             found = part if found is None else found.union(part)
         if found is None:

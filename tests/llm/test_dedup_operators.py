@@ -311,3 +311,17 @@ def test_jaccard_join_finds_mixed_sizes_at_exactly_75_percent(spark):
     assert len(pairs) == 60 and all(100 * len(sets[a] & sets[b]) == 75 * len(sets[a] | sets[b]) for a, b in pairs)
     want = roots(sets, pairs)
     assert {r.doc_id: r.component_id for r in out} == want
+
+
+def test_vectors_of_every_length_are_linked(spark, monkeypatch):
+    # The plan of so many lengths is long; what matters here is that each of them is asked for.
+    asked = []
+
+    def link(reps, kind, *rest):
+        asked.append(1)
+        return reps.sparkSession.createDataFrame([], "a long, b long, links long")
+
+    monkeypatch.setattr(pivot_permutation, "_link", link)
+    rows = [(n, [1.0] * n) for n in range(1, 71)]
+    out = pivot_permutation.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert out.count() == 70 and len(asked) == 70
