@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that one Python step handles at once; bounds the working
 #: memory of a task whatever the number of rows in an Arrow batch.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch at most, while a table is written.
+BATCH_ROWS = 2000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,24 +25,56 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a default only where it is unset."""
+    """The shared folder named by the session; where it is unset, a default on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "/tmp/checkpoints"
     return root.rstrip("/")
 
 
+def _fs(spark: SparkSession, place: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def drop_tables(spark: SparkSession, places: list[str]) -> None:
+    for place in places:
+        fs, path = _fs(spark, place)
+        fs.delete(path, True)
+    places.clear()
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows while a table is written: long texts make large batches."""
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, space: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Cuts the lineage, survives lost executors, and keeps a costly stage from
-    running again for every action that follows.  ``space``: see scratch().
+    running again for every action that follows.  ``space``: see scratch(); a
+    table without one is a result, and goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     if space is not None:
         space.append(path)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
+    if space is None:
+        fs, place = _fs(spark, path)
+        fs.deleteOnExit(place)
+    # Shuffle files go when the driver collects the plans that made them, which it else does rarely.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,10 +85,7 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield space
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for p in space:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+        drop_tables(spark, space)
 
 
 def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:

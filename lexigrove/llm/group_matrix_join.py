@@ -28,6 +28,7 @@ links of each; null ids link with nothing; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, materialize, scratch, slices
+from .common import drop_tables, ids_and_text, materialize, scratch, slices
 from .graph import components
 
 #: Similarity in percent, and words of a shingle.
@@ -46,8 +47,10 @@ HOT_DF, MAX_HOT = 64, 1 << 20
 BLOCK, STAR = 64, 512
 #: Tokens beyond the least prefixes, in percent of the set.
 SPARE = 6
-#: Bits of the filter that spares the second scan the texts of unlinked documents.
-FILTER_BITS = 1 << 24
+#: Bits for each id of the filter that spares the second scan the texts of unlinked documents, and their power of two at most.
+FILTER_SPACE, MAX_FILTER = 16, 30
+#: Bits of a hash that stand for it in prefixes, and bytes of input for each bucket of packed tokens.
+KEY_BITS, BUCKET_BYTES = 42, 8 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -86,23 +89,37 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, df): tokens (42 bits of the hash) in HOT_DF documents or more.
+def _size(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as the optimizer knows them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    Tokens travel packed, four bytes each, in rows of one for each of 1024 ranges of hashes.
+
+def bucket_bits(size: int) -> int:
+    """Bits of a token that name its bucket: a bucket holds a few MB, whatever the size of the input."""
+    return min(KEY_BITS - 24, max(10, math.ceil(math.log2(max(1, size) / BUCKET_BYTES))))
+
+
+def _packets(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Runs of equal (sorted) buckets: the buckets and their ranges."""
+    edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    return bucket[edges[:-1]], list(zip(edges, edges[1:]))
+
+
+def token_counts(docs: DataFrame, bits: int) -> DataFrame:
+    """(token, df): tokens in HOT_DF documents or more, by their first ``bits`` + 24 bits.
+
+    Tokens travel packed, three bytes each, in rows of one for each bucket.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in slices(b):
-                sets = [shingles(t) for t in texts]
-                all_ = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+                all_ = np.sort(np.concatenate([np.zeros(0, np.uint64), *(shingles(t) for t in texts)])) >> np.uint64(40 - bits)
                 if not len(all_):
                     continue
-                bucket = (all_ >> np.uint64(54)).astype(np.int32)
-                low = (all_ >> np.uint64(22)).astype(np.uint32)
-                edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(all_)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array([low[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())], names=["bucket", "tokens"])
+                own, cut = _packets((all_ >> np.uint64(24)).astype(np.int32))
+                low = np.ascontiguousarray(all_.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([low[i:j].tobytes() for i, j in cut], pa.binary())], names=["bucket", "tokens"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -110,18 +127,22 @@ def token_counts(docs: DataFrame) -> DataFrame:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.setdefault(k, []).append(t)
         for k in list(held):
-            t, n = np.unique(np.frombuffer(b"".join(held.pop(k)), np.uint32), return_counts=True)
+            raw = np.frombuffer(b"".join(held.pop(k)), np.uint8).reshape(-1, 3)
+            low = np.zeros((len(raw), 4), np.uint8)
+            low[:, :3] = raw
+            t, n = np.unique(low.view("<u4").ravel(), return_counts=True)
             hot = n >= HOT_DF
             if hot.any():
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << 32) | t[hot].astype(np.int64)), pa.array(n[hot].astype(np.int64))], names=["token", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << 24) | t[hot].astype(np.int64)), pa.array(n[hot].astype(np.int64))], names=["token", "df"])
 
     return docs.mapInArrow(pack, "bucket int, tokens binary").repartition("bucket").mapInArrow(count, "token long, df long")
 
 
-def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens, at most MAX_HOT, in order, and the power of two of each one's df."""
+def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent tokens, at most MAX_HOT, in order, the power of two of each one's df, and their bits."""
+    bits = bucket_bits(_size(docs))
     with scratch(docs.sparkSession) as space:
-        counts = materialize(token_counts(docs), "token-counts", space).withColumn("k", F.floor(F.log2("df")).cast("int"))
+        counts = materialize(token_counts(docs, bits), "token-counts", space).withColumn("k", F.floor(F.log2("df")).cast("int"))
         per = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.count("*").alias("n")).collect()}
         total, least = 0, None
         for k in sorted(per, reverse=True):
@@ -130,17 +151,17 @@ def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 break
             least = k
         if least is None:
-            return np.zeros(0, np.int64), np.zeros(0, np.int8)
+            return np.zeros(0, np.int64), np.zeros(0, np.int8), bits + 24
         found = counts.where(F.col("k") >= least).select("token", "k").toArrow()
         token, k = found.column(0).to_numpy(), found.column(1).to_numpy()
         order = np.argsort(token)
-        return token[order], k[order].astype(np.int8)
+        return token[order], k[order].astype(np.int8), bits + 24
 
 
 SIGNATURES = "doc_id long, n long, s1 long, s2 long, mins array<long>, cold binary, n_index int, hot array<long>, n_hot_index int"
 
 
-def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
     """For each row: set size, 128-bit hash of the set, minimum hashes, prefix tokens.
 
     Prefix tokens are 42 bits of the hash (equal ones make a shared count too high at
@@ -150,7 +171,7 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, level = shared.value
+        hot, level, bits = shared.value
         for b in batches:
             for part, texts in slices(b):
                 n, sig, mins, cold, warm, own = [], [], [], [], [], []
@@ -166,9 +187,10 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
                     mins.append(m.min(axis=1).view(np.int64).tolist())
                     index, probe = prefixes(len(s))
                     # One order for all documents: by the power of two of df, then by the 42 bits.
-                    key = np.unique((s >> np.uint64(22)).astype(np.int64))
-                    at = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
-                    is_hot = hot[at] == key if len(hot) else np.zeros(len(key), bool)
+                    key = np.unique((s >> np.uint64(64 - KEY_BITS)).astype(np.int64))
+                    seen = key >> (KEY_BITS - bits)
+                    at = np.minimum(np.searchsorted(hot, seen), max(len(hot) - 1, 0))
+                    is_hot = hot[at] == seen if len(hot) else np.zeros(len(key), bool)
                     first = key[~is_hot][:probe]
                     cold.append(first.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                     late = key[is_hot]
@@ -186,7 +208,12 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
 
 
 def cold_postings(sigs: DataFrame) -> DataFrame:
-    """(token, rep, held) of the cold prefix tokens that several rows share; held: in the matrix."""
+    """(token, rep, held) of the cold prefix tokens that several rows share; held: in the matrix.
+
+    Tokens and ids travel packed by bucket, four bytes each where a packet's ids lie close together.
+    """
+    rows = sigs.where("n > 0 and doc_id is not null").select("doc_id", "cold", "n_index")
+    low_bits = KEY_BITS - bucket_bits(rows.agg(F.sum(F.length("cold"))).first()[0] or 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,13 +229,22 @@ def cold_postings(sigs: DataFrame) -> DataFrame:
                 t = t.view("<i8").ravel()
                 who = np.repeat(ids[lo : lo + 2000], size)
                 place = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-                held = (place < np.repeat(index[lo : lo + 2000], size)).astype(np.uint8)
+                held = place < np.repeat(index[lo : lo + 2000], size)
                 order = np.argsort(t)
                 t, who, held = t[order], who[order], held[order]
-                bucket, low = (t >> 32).astype(np.int32), t.astype(np.uint32)
-                edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(t)]
-                cut = list(zip(edges, edges[1:]))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), *(pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (low, who, held))], names=["bucket", "tokens", "ids", "held"])
+                own, cut = _packets((t >> low_bits).astype(np.int32))
+                low = (t & ((1 << low_bits) - 1)).astype(np.uint32)
+                base = [int(who[i:j].min()) for i, j in cut]
+                near = [int(who[i:j].max()) - x < 1 << 32 for (i, j), x in zip(cut, base)]
+                near_ids = [(who[i:j] - x).astype(np.uint32).tobytes() if k else who[i:j].tobytes() for (i, j), x, k in zip(cut, base, near)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array([low[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([x if k else None for x, k in zip(base, near)], pa.int64()), pa.array(near_ids, pa.binary()), pa.array([np.packbits(held[i:j]).tobytes() for i, j in cut], pa.binary())],
+                    names=["bucket", "tokens", "base", "ids", "held"],
+                )
+
+    def unpack(t: bytes, base: int | None, ids: bytes, held: bytes) -> tuple:
+        who = np.frombuffer(ids, np.int64) if base is None else np.frombuffer(ids, np.uint32).astype(np.int64) + base
+        return np.frombuffer(t, np.uint32), who, np.unpackbits(np.frombuffer(held, np.uint8), count=len(who))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
@@ -216,8 +252,7 @@ def cold_postings(sigs: DataFrame) -> DataFrame:
             for k, *row in zip(*(c.to_pylist() for c in b.columns)):
                 kept.setdefault(k, []).append(row)
         for k in list(kept):
-            rows = kept.pop(k)
-            t, who, held = (np.frombuffer(b"".join(x[c] for x in rows), kind) for c, kind in ((0, np.uint32), (1, np.int64), (2, np.uint8)))
+            t, who, held = (np.concatenate(x) for x in zip(*(unpack(*row) for row in kept.pop(k))))
             order = np.lexsort((who, t))
             t, who, held = t[order], who[order], held[order]
             new = np.ones(len(t), bool)
@@ -227,24 +262,22 @@ def cold_postings(sigs: DataFrame) -> DataFrame:
             n = np.diff([*first, len(t)])
             keep = np.repeat((n > 1) & (np.add.reduceat(held.astype(np.int64), first) > 0), n)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << 32) | t[keep].astype(np.int64)), pa.array(who[keep]), pa.array(held[keep] > 0)], names=["token", "rep", "held"])
-
-    rows = sigs.where("n > 0 and doc_id is not null").select("doc_id", "cold", "n_index")
-    return rows.mapInArrow(pack, "bucket int, tokens binary, ids binary, held binary").repartition("bucket").mapInArrow(meet, "token long, rep long, held boolean")
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << low_bits) | t[keep].astype(np.int64)), pa.array(who[keep]), pa.array(held[keep] > 0)], names=["token", "rep", "held"])
 
-
-def _bit(id_col: Column) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    return rows.mapInArrow(pack, "bucket int, tokens binary, base long, ids binary, held binary").repartition("bucket").mapInArrow(meet, "token long, rep long, held boolean")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, tokens) for the rows whose id may be in ``ids`` (column id): a second scan.
 
-    A bit filter of fixed size is broadcast; what else it lets through is dropped by later joins.
+    A bit filter is broadcast, of FILTER_SPACE bits for each id and MAX_FILTER at most
+    (128 MB); what else it lets through is dropped by later joins.
     """
-    bits = ids.select(_bit(F.col("id")).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-    got = bits.toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
+    bits = 1 << min(MAX_FILTER, max(16, math.ceil(math.log2(FILTER_SPACE * max(1, ids.count())))))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marked = ids.select(bit("id").alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    got = marked.toArrow()
+    table = np.zeros(bits // 64, np.int64)
     table[got.column("w").to_numpy()] = got.column("bits").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -257,7 +290,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [shingles(t).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "tokens"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", _bit(F.col("doc_id")).alias("p"))
+    rows = docs.where("doc_id is not null").select("doc_id", "text", bit("doc_id").alias("p"))
     return rows.mapInArrow(run, "rep long, tokens binary")
 
 
@@ -339,8 +372,12 @@ def _opens() -> str:
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     docs = ids_and_text(documents, id_col, text_col)
-    with scratch(docs.sparkSession) as space:
-        sigs = materialize(signatures(docs, hot_tokens(docs)), "signatures", space)
+    with scratch(docs.sparkSession) as space, scratch(docs.sparkSession) as first_space:
+        sigs = materialize(signatures(docs, hot_tokens(docs)), "signatures", first_space)
+        met_cold = materialize(cold_postings(sigs), "cold-postings", space)
+        # The cold tokens, most of the table, have done their part.
+        sigs = materialize(sigs.drop("cold", "n_index"), "rows", space)
+        drop_tables(docs.sparkSession, first_space)
         some = sigs.where("n > 0 and doc_id is not null")
         classes = materialize(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes", space)
         reps = classes.select("rep", "n").distinct()
@@ -357,7 +394,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         most = met.groupBy("rep").agg(F.max(F.struct("c", F.xxhash64("k", "v").alias("key"))).alias("m")).select("rep", F.col("m.key").alias("key"))
         group = reps.join(comp, F.col("rep") == F.col("node"), "left").join(most, "rep", "left")
         group = group.select("rep", "n", F.coalesce("component", "rep").alias("component"), F.col("component").isNotNull().alias("one"), F.coalesce("component", "key", "rep").alias("set"))
-        sizes = group.groupBy("set").agg(F.count("*").alias("size")).where("size > 1")
+        # Written first: both sides of the join are then dealt anew, and a hot set's partition can be split.
+        group = materialize(group, "sets-of-classes", space)
+        sizes = materialize(group.groupBy("set").agg(F.count("*").alias("size")).where("size > 1"), "set-sizes", space)
         alone = F.col("size").isNull()
         group = group.join(sizes, "set", "left").select(
             "rep", "n", "component", "one", F.when(alone, F.col("rep")).otherwise(F.col("set")).alias("set"),
@@ -368,7 +407,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         # 2. The matrix: tokens by group, and what queries share with it.
         warm = some.where(F.size("hot") > 0).join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id = rep")
         warm = warm.select(F.posexplode("hot").alias("place", "token"), "rep", "n_hot_index").select("token", "rep", (F.col("place") < F.col("n_hot_index")).alias("held"))
-        posts = materialize(cold_postings(sigs).union(warm).join(group, "rep"), "postings", space)
+        posts = materialize(met_cold.union(warm).join(group, "rep"), "postings", space)
         shared = posts.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("held").alias("held")).where("x <> y and held").select("token")
         posts = posts.join(shared, "token")
         matrix = posts.where("held").groupBy("token", "set", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
