@@ -5,6 +5,12 @@ Parquet in the shared checkpoint folder and read again as the next stage's docs.
 The first three stages return the columns of ``documents``; mixing adds slot and place
 (see op8_pfair_mix), which the result carries: sorted by (slot, place) it is in mixed
 order, whatever the order in which its files are read.
+
+Defined results: null, empty and letterless texts leave at the first stage; texts of
+any length are worked on whole; of repeated rows one stays; equal documents keep the
+one of the smallest id; documents with a null id stay and are mixed by their place
+among null ids; an empty table gives no rows; further columns are carried, but for
+slot, place, ids and n_tokens, which give way to the new ones.
 """
 
 from __future__ import annotations
@@ -13,24 +19,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.llm import group_matrix_join, language_nb, pfair_mix, sentence_spans, sentencepiece_unigram
-from lexigrove.llm.common import materialize, read_table
+from lexigrove.llm.common import drop_tables, materialize, passing, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter and texts of no known language go."""
+    """Texts without a letter, texts of no one language, and texts unlike every language go.
+
+    The model is of the labelled rows of ``docs``; where there are none, no row stays.
+    """
     return language_nb.keep_identified(docs, language_nb.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays; of repeated rows, one."""
+    """The document of the smallest id of each group stays.
+
+    Of rows that repeat id and text (null ids too) the one whose columns hash least
+    stays; documents with a null id are compared with nothing else.
+    """
     found = group_matrix_join.near_duplicates(docs)
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
         return kept
-    many = kept.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_anti").union(many)
+    repeated = F.col("doc_id").cast("long").eqNullSafe(F.col("__again"))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
+    many = kept.join(again, repeated, "left_semi")
+    # A minimum has partial results, so a third of all rows may be one document.
+    one = many.groupBy(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("__row"))
+    return kept.join(again, repeated, "left_anti").union(one.select("__row.*"))
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +64,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, slot and place with their piece ids (ids) and their number (n_tokens)."""
+    """The documents, slot and place with their piece ids (ids) and their number (n_tokens).
+
+    Columns of these two names give way.
+    """
+    docs = docs.drop("ids", "n_tokens")
     rows = sentencepiece_unigram.encode(docs, sentencepiece_unigram.load())
     return rows.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"))
 
@@ -65,9 +86,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{i}")
-    return docs
+    """The last stage's rows; a stage's tables go as soon as the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        space: list[str] = []
+        with passing(space):
+            out = stage(spark, docs, sf_dir)
+        # The last table is read by the result itself.
+        last = i + 2 == len(STAGES)
+        docs = materialize(out, f"stage-{i}", None if last else (now := []))
+        drop_tables(spark, [*before, *space])
+        before = [] if last else now
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,9 @@ def materialize(df: DataFrame, name: str, space: list[str] | None = None) -> Dat
         space.append(path)
     with _small_batches(spark):
         df.write.parquet(path)
-    if space is None:
+    if space is None and (outer := _outer.get()) is not None:
+        outer.append(path)
+    elif space is None:
         fs, place = _fs(spark, path)
         fs.deleteOnExit(place)
     # Shuffle files go when the driver collects the plans that made them, which it else does rarely.
@@ -78,6 +81,20 @@ def materialize(df: DataFrame, name: str, space: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Where results written on the way to another result are noted (see passing).
+_outer: ContextVar[list[str] | None] = ContextVar("outer", default=None)
+
+
+@contextmanager
+def passing(space: list[str]) -> Iterator[None]:
+    """Results written within are noted in ``space``, for drop_tables once they have been read."""
+    token = _outer.set(space)
+    try:
+        yield
+    finally:
+        _outer.reset(token)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Collects the tables written for a result that is itself written; they go at the end."""

@@ -12,8 +12,9 @@ has no blocks left, a new phase begins with the weights of the rest, so every
 document gets a slot.  The driver schedules blocks one by one and holds three
 numbers for each; they reach the documents by a broadcast.
 
-Defined results: a null source is the source ''; repeated rows keep a slot each;
-ties in the hashed order are settled by id and text; an empty table gives no
+Defined results: a null source is the source ''; repeated rows and rows with a null id
+keep a slot each; ties in the hashed order are settled by id and a hash of the text,
+null texts first; texts of any length are carried whole and never read; an empty table gives no
 rows; a source missing from given weights gets the smallest given weight.
 """
 
@@ -36,6 +37,8 @@ from pyspark.sql import Window
 BUCKETS = 1024
 #: Consecutive blocks of a source in one row of the plan.
 CHUNK = 1024
+#: Blocks of a plan that is broadcast (32 bytes each); longer plans are joined by a shuffle.
+MAX_BROADCAST_BLOCKS = 1 << 21
 
 
 def integer_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -167,12 +170,15 @@ def _scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, bloc
         weights = {s: n**tempering for s, n in sizes.items()}
     least = min((w for w in weights.values() if w > 0), default=1.0)
     weights = {s: weights.get(s) if (weights.get(s) or 0) > 0 else least for s in sizes}
-    table = spark.createDataFrame(plan_table(plan({s: -(-n // block_docs) for s, n in sizes.items()}, weights, period)), PLAN_SCHEMA)
+    blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
+    table = spark.createDataFrame(plan_table(plan(blocks, weights, period)), PLAN_SCHEMA)
 
     order = Window.partitionBy("__source", "__bucket").orderBy("__h", F.col(id_col), F.xxhash64(F.col(text_col)))
     ranked = rows.withColumn("__rank", F.row_number().over(order) - 1).join(starts, ["__source", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__start"))
     ranked = ranked.withColumn("__block", F.floor(F.col("__rank") / block_docs).cast("long")).withColumn("__place", F.pmod("__rank", F.lit(block_docs)).cast("long"))
-    out = ranked.withColumn("__chunk", F.expr(f"__block div {CHUNK}")).join(F.broadcast(table).withColumnRenamed("__s", "__source"), ["__source", "__chunk"])
+    # Rows of the plan are as many documents apart, so its join has no hot key where it is too large to broadcast.
+    table = F.broadcast(table) if sum(blocks.values()) <= MAX_BROADCAST_BLOCKS else table
+    out = ranked.withColumn("__chunk", F.expr(f"__block div {CHUNK}")).join(table.withColumnRenamed("__s", "__source"), ["__source", "__chunk"])
     return out.withColumns({f"__{c}": F.get(f"__{c}s", F.pmod("__block", F.lit(CHUNK)).cast("int")) for c in PLAN})
 
 

@@ -313,6 +313,48 @@ def test_jaccard_join_finds_mixed_sizes_at_exactly_75_percent(spark):
     assert {r.doc_id: r.component_id for r in out} == want
 
 
+def test_jaccard_join_at_random_sizes(spark):
+    """Families of sets of 20 to 200 shingles around 75 %, with hot passages, against brute force."""
+    rng = random.Random(11)
+    rows, passage = [], [f"hot{i}" for i in range(40)]
+    for family in range(45):
+        core = [f"u{family}x{i}" for i in range(rng.randrange(20, 200))]
+        for _ in range(rng.randrange(2, 6)):
+            k = rng.randrange(int(0.72 * len(core)), len(core) + 1)
+            own = [f"z{rng.randrange(10**9)}" for _ in range(rng.randrange(0, max(1, len(core) // 3)))]
+            words = core[:k] + own if rng.random() < 0.5 else own + core[-k:]
+            rows.append((len(rows), " ".join((passage if rng.random() < 0.4 else []) + words)))
+    # Sizes of 34 against 32 to 34, which share just enough.
+    for _ in range(20):
+        core = [f"v{rng.randrange(10**9)}" for _ in range(33)]
+        rows += [(len(rows) + k, " ".join(core[:33] + [f"y{rng.randrange(10**9)}" for _ in range(e)])) for k, e in enumerate((5, 3, 4, 9))]
+    out = group_matrix_join.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows])).collect()
+    sets = {i: brute_shingles(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = roots(sets, pairs)
+    assert len(pairs) > 40 and {r.doc_id: r.component_id for r in out} == want
+
+
+def test_buckets_grow_with_the_input():
+    bits = [group_matrix_join.bucket_bits(x) for x in (0, 10**9, 10**12, 10**15)]
+    assert bits[0] == bits[1] == 10 and bits[1] < bits[2] <= bits[3] <= group_matrix_join.KEY_BITS - 24
+
+
+def test_packed_tokens_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(group_matrix_join, "BUCKET_BYTES", 1)
+    rows = near_copies(3, 12) + [(10**15, near_copies(3, 12)[0][1])]
+    out = {r.doc_id: r.component_id for r in group_matrix_join.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    sets = {i: brute_shingles(t) for i, t in rows}
+    assert out == roots(sets, [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+
+
+def test_mixing_plan_too_long_to_broadcast(spark, monkeypatch):
+    df = docs(spark, [(None if i % 9 == 0 else i, None if i % 7 == 0 else "long " * (20_000 if i == 5 else 1), f"s{i % 3}") for i in range(200)])
+    want = sorted(map(str, pfair_mix.mix(df, block_docs=2).collect()))
+    monkeypatch.setattr(pfair_mix, "MAX_BROADCAST_BLOCKS", 1)
+    assert sorted(map(str, pfair_mix.mix(df, block_docs=2).collect())) == want and len(want) == 200
+
+
 def test_vectors_of_every_length_are_linked(spark, monkeypatch):
     # The plan of so many lengths is long; what matters here is that each of them is asked for.
     asked = []

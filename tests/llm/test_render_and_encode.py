@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexigrove.llm import html_layout, sentencepiece_unigram
 
@@ -145,6 +146,60 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert stage.columns == df.columns
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Clashing columns, null ids, repeated rows, very long texts, an empty table, and no tables left but the last."""
+    import os
+
+    import corpus_pipeline
+
+    english = "the cat sat on the mat and the dog lay by the door of the house"
+    text = lambda i: " ".join(f"{w}{(i * 7 + k) % 97}x{i}" for k, w in enumerate(english.split())) + " " + english
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, n_tokens int, slot int, place string, component_id int, tags map<string,int>"
+    rest = ("a", 7, 1, "b", 9, {"k": 1})
+    rows = [(i, text(i), "en", "s", 1, *rest) for i in range(20)]
+    rows += [(3, text(3), "en", "other", 1, *rest), (4, text(4), "en", "s", 1, *rest), (None, text(50), "en", "s", 1, *rest), (None, text(50), "en", "t", 2, *rest), (None, text(51), None, None, None, *rest)]
+    rows += [(90, (english + " ") * 9_000 + "tail", "en", "s", 1, *rest), (91, None, None, None, None, None, None, None, None, None, None), (92, "", "en", "s", 1, *rest)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [*range(20), 90]
+    assert sum(r.doc_id is None for r in got) == 2
+    assert all(r.n_tokens == len(r.ids) and r.component_id == 9 and r.tags == {"k": 1} for r in got)
+    assert len({(r.slot, r.place) for r in got}) == len(got)
+    assert [x.split("-")[0] for x in set(os.listdir(shared)) - before] == ["stage"]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_repeated_rows_keep_the_same_one(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f g", f"s{i}") for i in range(9)] + [(2, "other words here", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    again = corpus_pipeline.drop_near_duplicates(spark, df.orderBy(F.desc("source")), "").collect()
+    assert sorted(first) == sorted(again) and len(first) == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from lexigrove.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpoint_root(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.checkpoint_root(Session)
+
+
 def test_pipeline_result_carries_the_mixed_order(spark, tmp_path):
     import corpus_pipeline
     from lexigrove.llm import pfair_mix

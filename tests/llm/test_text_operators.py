@@ -152,10 +152,34 @@ def test_language_id_matches_brute_force(spark):
     log = {k: sum(math.log((c[g] + 0.5) / (c.sum() + 0.5 * len(c))) for g in grams) for k, c in counts.items()}
     best = max(sorted(log), key=log.get)
     p = 1 / sum(math.exp(x - log[best]) for x in log.values())
-    lang, score = model.predict([text])
+    lang, score, _ = model.predict([text])
     assert lang == [best] and score[0] == pytest.approx(p, rel=1e-3)
 
 
+@pytest.mark.parametrize("text", ["½", "② 1", "①", "Ⅷ 12", "5² + 3", "_ ٣", ""])
+def test_numbers_are_no_letters(spark, text):
+    df, rows = corpus(spark)
+    model = language_nb.Model(["de", "en"], np.zeros((2, 1 << language_nb.BITS)), np.zeros(2))
+    (row,) = language_nb.identify(docs(spark, [(1, text, None)]), model).collect()
+    assert (row.lang_pred, row.score) == ("und", 0.0) and not language_nb.has_letter(text)
+    assert language_nb.has_letter(text + "é")
+
+
+def test_language_model_of_many_languages(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5000 + i)} " * 6, f"l{i:03}") for i in range(420)]
+    model = language_nb.train(docs(spark, rows))
+    assert len(model.langs) == 420
+    found = {r.doc_id: r.lang_pred for r in language_nb.identify(docs(spark, rows), model).collect()}
+    assert sum(found[i] == lang for i, _, lang in rows) > 400
+
+
+def test_texts_unlike_every_language_are_rejected(spark):
+    model = language_nb.train(docs(spark, [(i, text * 400, lang) for i, (text, lang) in enumerate([(ENGLISH, "en"), (GERMAN, "de")] * 5)]))
+    rows = [(1, ENGLISH, None), (2, "xq 8812-7743 %% zzqj 0x77f1 8831 ## ∞€€", None), (3, "日本語の文章です" * 5, None), (4, GERMAN, None)]
+    assert sorted(r.doc_id for r in language_nb.keep_identified(docs(spark, rows), model).collect()) == [1, 4]
+    assert [r.doc_id for r in language_nb.keep_identified(docs(spark, rows), model, languages=("de",)).collect()] == [4]
+
+
 def test_language_id_without_training(spark):
     df = docs(spark, [(1, "some text", None)])
     assert [(r.lang_pred, r.score) for r in language_nb.identify(df, language_nb.train(df)).collect()] == [("und", 0.0)]
