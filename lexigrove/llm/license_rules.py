@@ -1,14 +1,15 @@
 """License scans: ordered signature rules with overlap suppression.
 
-A rule is a regular expression with a label, a priority and keywords.  A text
-is first tested for the keywords (one automaton pass over the lower-cased
-bytes); only rules whose keyword occurs are run.  Detections that lie inside
-another rule's interval are suppressed when the other has the higher priority,
-or the same priority and a longer interval; of equal intervals the rule that
+A rule is a hand-written regular expression with a label, a priority and a keyword
+(see license_signatures).  A text is first tested for the keywords (one automaton
+pass over the lower-cased bytes); only rules whose keyword occurs are run.  Detections
+that lie inside another rule's interval are suppressed when the other has the higher
+priority, or the same priority and a longer interval; of equal intervals the rule that
 stands first stays.
 
-Defined results: a null or empty text has no words and no detections; repeated
-rows are scanned alike; extra columns are ignored.
+Defined results: a null or empty text has no words and no detections; texts of any
+length are scanned whole; repeated rows and rows with a null id are scanned alike; an
+empty table gives no rows; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ids_and_text, map_arrow
+from .license_signatures import SIGNATURES
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -34,88 +36,21 @@ BASE_PHRASES = (
     ("mit license", "mit"),
 )
 
-#: License families as (SPDX stem, full name, versions, keyword).
-#: Each family and version gives one rule for each form in FORMS.
-FAMILIES = (
-    ("gpl", r"gnu\s+general\s+public\s+licen[cs]e", ("1.0", "2.0", "3.0"), "general public licen"),
-    ("lgpl", r"gnu\s+(?:lesser|library)\s+general\s+public\s+licen[cs]e", ("2.0", "2.1", "3.0"), "general public licen"),
-    ("agpl", r"(?:gnu\s+)?affero\s+general\s+public\s+licen[cs]e", ("1.0", "3.0"), "affero"),
-    ("gfdl", r"gnu\s+free\s+documentation\s+licen[cs]e", ("1.1", "1.2", "1.3"), "free documentation"),
-    ("apache", r"apache\s+(?:software\s+)?licen[cs]e", ("1.0", "1.1", "2.0"), "apache"),
-    ("mpl", r"mozilla\s+public\s+licen[cs]e", ("1.0", "1.1", "2.0"), "mozilla"),
-    ("epl", r"eclipse\s+public\s+licen[cs]e", ("1.0", "2.0"), "eclipse"),
-    ("cddl", r"common\s+development\s+and\s+distribution\s+licen[cs]e", ("1.0", "1.1"), "common development"),
-    ("cpl", r"common\s+public\s+licen[cs]e", ("1.0",), "common public"),
-    ("eupl", r"european\s+union\s+public\s+licen[cs]e", ("1.0", "1.1", "1.2"), "european union public"),
-    ("afl", r"academic\s+free\s+licen[cs]e", ("2.1", "3.0"), "academic free"),
-    ("osl", r"open\s+software\s+licen[cs]e", ("1.0", "2.1", "3.0"), "open software"),
-    ("artistic", r"artistic\s+licen[cs]e", ("1.0", "2.0"), "artistic"),
-    ("bsl", r"boost\s+software\s+licen[cs]e", ("1.0",), "boost software"),
-    ("busl", r"business\s+source\s+licen[cs]e", ("1.0", "1.1"), "business source"),
-    ("cecill", r"cecill\s+(?:free\s+software\s+)?licen[cs]e", ("1.0", "2.0", "2.1"), "cecill"),
-    ("zpl", r"zope\s+public\s+licen[cs]e", ("1.1", "2.0", "2.1"), "zope"),
-    ("psf", r"python\s+(?:software\s+foundation\s+)?licen[cs]e", ("2.0",), "python"),
-    ("php", r"php\s+licen[cs]e", ("3.0", "3.01"), "php"),
-    ("lppl", r"latex\s+project\s+public\s+licen[cs]e", ("1.0", "1.2", "1.3c"), "latex"),
-    ("ofl", r"(?:sil\s+)?open\s+font\s+licen[cs]e", ("1.0", "1.1"), "open font"),
-    ("odbl", r"open\s+(?:data\s+commons\s+)?(?:open\s+)?database\s+licen[cs]e", ("1.0",), "database licen"),
-    ("apsl", r"apple\s+public\s+source\s+licen[cs]e", ("1.0", "2.0"), "apple"),
-    ("ms-pl", r"microsoft\s+public\s+licen[cs]e", ("1.0",), "microsoft"),
-    ("sspl", r"server\s+side\s+public\s+licen[cs]e", ("1.0",), "server side"),
-    ("cc-by", r"(?:creative\s+commons\s+)?attribution", ("1.0", "2.0", "2.5", "3.0", "4.0"), "attribution"),
-    ("cc-by-sa", r"(?:creative\s+commons\s+)?attribution[\s-]+share\s*alike", ("1.0", "2.0", "2.5", "3.0", "4.0"), "attribution"),
-    ("cc-by-nc", r"(?:creative\s+commons\s+)?attribution[\s-]+non\s*-?commercial", ("1.0", "2.0", "2.5", "3.0", "4.0"), "attribution"),
-    ("cc-by-nd", r"(?:creative\s+commons\s+)?attribution[\s-]+no\s*-?deriv(?:ative)?s?", ("1.0", "2.0", "2.5", "3.0", "4.0"), "attribution"),
-    ("cc-by-nc-sa", r"(?:creative\s+commons\s+)?attribution[\s-]+non\s*-?commercial[\s-]+share\s*alike", ("1.0", "2.0", "2.5", "3.0", "4.0"), "attribution"),
-    ("cc-by-nc-nd", r"(?:creative\s+commons\s+)?attribution[\s-]+non\s*-?commercial[\s-]+no\s*-?deriv(?:ative)?s?", ("1.0", "2.0", "2.5", "3.0", "4.0"), "attribution"),
-)
-
-#: How a family's version may be written, as (form, priority, pattern).
-#: {name}, {id} and {v} stand for the family's name, SPDX stem and version.
-FORMS = (
-    ("spdx", 90, r"spdx-license-identifier:\s*\(?{id}-{v}(?:-only|-or-later)?"),
-    ("name-version", 70, r"(?:the\s+)?{name}(?:\s*\(?{id}\)?)?,?\s*(?:version|v\.?)?\s*{v}(?:\s+(?:only|or\s+(?:any\s+)?later(?:\s+version)?))?"),
-    ("id-version", 50, r"(?<![a-z0-9-]){id}(?:[\s-]*v?|\s+version\s+){v}(?:\+|-only|-or-later)?(?![0-9])"),
-)
-
-#: Rules written out one by one, as (label, priority, keyword, pattern).
-SINGLE = (
-    ("gpl", 30, "general public licen", r"gnu\s+general\s+public\s+licen[cs]e"),
-    ("apache", 30, "apache", r"apache\s+licen[cs]e"),
-    ("cc-by", 30, "cc", r"(?<![a-z0-9])cc[\s-]+by(?![a-z0-9])"),
-    ("mit", 30, "mit", r"(?<![a-z0-9])mit\s+licen[cs]e"),
-    ("mit", 80, "permission is hereby granted", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
-    ("isc", 80, "permission to use", r"permission\s+to\s+use,?\s+copy,?\s+modify,?\s+and/?(?:or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
-    ("isc", 30, "isc", r"(?<![a-z0-9])isc\s+licen[cs]e"),
-    ("bsd", 80, "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms"),
-    ("bsd-2-clause", 60, "bsd", r"(?:2-clause|simplified|freebsd)\s+bsd\s+licen[cs]e|bsd[\s-]+2[\s-]+clause"),
-    ("bsd-3-clause", 60, "bsd", r"(?:3-clause|new|modified)\s+bsd\s+licen[cs]e|bsd[\s-]+3[\s-]+clause"),
-    ("bsd", 30, "bsd", r"(?<![a-z0-9])bsd(?:-style)?\s+licen[cs]e"),
-    ("apache-2.0", 85, "apache", r"licensed\s+under\s+the\s+apache\s+license,?\s+version\s+2\.0"),
-    ("apache-2.0", 80, "apache", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0"),
-    ("gpl", 75, "general public licen", r"under\s+the\s+terms\s+of\s+the\s+gnu\s+general\s+public\s+licen[cs]e"),
-    ("lgpl", 75, "general public licen", r"under\s+the\s+terms\s+of\s+the\s+gnu\s+(?:lesser|library)\s+general\s+public\s+licen[cs]e"),
-    ("agpl", 75, "affero", r"under\s+the\s+terms\s+of\s+the\s+gnu\s+affero\s+general\s+public\s+licen[cs]e"),
-    ("gpl", 40, "gnu.org", r"https?://(?:www\.)?gnu\.org/(?:licenses|copyleft)/gpl"),
-    ("lgpl", 40, "gnu.org", r"https?://(?:www\.)?gnu\.org/(?:licenses|copyleft)/lgpl"),
-    ("agpl", 40, "gnu.org", r"https?://(?:www\.)?gnu\.org/licenses/agpl"),
-    ("mit", 40, "opensource.org", r"https?://(?:www\.)?opensource\.org/licenses/mit"),
-    ("cc0", 60, "creativecommons.org", r"https?://creativecommons\.org/publicdomain/zero/1\.0"),
-    ("cc0", 50, "cc0", r"(?<![a-z0-9])cc0(?:[\s-]*1\.0)?(?![a-z0-9])"),
-    ("public-domain", 30, "public domain", r"(?:dedicated\s+to|released\s+(?:in)?to|in)\s+the\s+public\s+domain"),
-    ("unlicense", 70, "unencumbered", r"this\s+is\s+free\s+and\s+unencumbered\s+software"),
-    ("unlicense", 30, "unlicense", r"(?<![a-z0-9])(?:the\s+)?unlicense(?![a-z0-9])"),
-    ("zlib", 70, "as-is", r"this\s+software\s+is\s+provided\s+'as-is',?\s+without\s+any\s+express\s+or\s+implied\s+warranty"),
-    ("zlib", 30, "zlib", r"(?<![a-z0-9])zlib\s+licen[cs]e"),
-    ("wtfpl", 30, "wtfpl", r"(?<![a-z0-9])wtfpl(?![a-z0-9])"),
-    ("proprietary", 20, "all rights reserved", r"all\s+rights\s+reserved"),
-    ("proprietary", 40, "proprietary", r"proprietary\s+(?:and|&)\s+confidential|confidential\s+and\s+proprietary"),
-    ("vim", 30, "vim", r"(?<![a-z0-9])vim\s+licen[cs]e"),
-    ("openssl", 30, "openssl", r"(?<![a-z0-9])openssl\s+licen[cs]e"),
-    ("curl", 30, "curl", r"(?<![a-z0-9])curl\s+licen[cs]e"),
-    ("beerware", 30, "beer", r"(?<![a-z0-9])beer-?ware(?:\s+licen[cs]e)?"),
-    ("json", 50, "for good, not evil", r"shall\s+be\s+used\s+for\s+good,\s+not\s+evil"),
+#: What the notation of the signatures stands for (see license_signatures).
+NOTATION = (
+    ("license", r"licen[cs]e"),
+    ("$", r"(?!\.?\d)"),
+    ("^", r"(?<![a-z0-9-])"),
+    ("@", r"(?![a-z0-9])"),
+    ("~", r"(?:[\"'`]|\xe2\x80[\x98-\x9d])*"),
+    ("[ -]?", r"[\s-]?"),
+    ("[ -]+", r"(?:\s|-)+"),
+    ("[ -]", r"(?:\s+|-)"),
+    (" ?", r"\s*"),
+    (" ", r"\s+(?:[*#/;]+\s+)*"),
 )
+#: Words of comment marks alone, which may stand between the words of a signature.
+_MARKS = re.compile(rb"[*#/;]+\Z")
 
 
 @dataclass(frozen=True)
@@ -127,22 +62,14 @@ class Rule:
 
 
 def _compile(label: str, priority: int, keyword: str, pattern: str) -> Rule:
-    return Rule(label, priority, keyword.encode(), re.compile(pattern.encode()))
+    for sign, meaning in NOTATION:
+        pattern = pattern.replace(sign, meaning)
+    return Rule(label, priority, keyword.encode(), re.compile(pattern.encode(), re.S))
 
 
 def build_rules() -> list[Rule]:
-    """All rules in order: the written-out ones, families by form and version, license URLs."""
-    rules = [_compile(*x) for x in SINGLE]
-    for stem, name, versions, keyword in FAMILIES:
-        for v in versions:
-            # A version ending in .0 may be written without it.
-            number = re.escape(v[:-2]) + r"(?:\.0)?(?![0-9])" if v.endswith(".0") else re.escape(v)
-            for form, priority, pattern in FORMS:
-                key = "spdx-license-identifier" if form == "spdx" else stem if form == "id-version" else keyword
-                rules.append(_compile(f"{stem}-{v}", priority, key, pattern.format(name=name, id=re.escape(stem), v=number)))
-            if stem.startswith("cc-"):
-                rules.append(_compile(f"{stem}-{v}", 80, "creativecommons.org", r"https?://creativecommons\.org/licenses/" + stem[3:] + "/" + re.escape(v)))
-    return rules
+    """All rules, in the order of the signatures."""
+    return [_compile(*x) for x in SIGNATURES]
 
 
 class Scanner:
@@ -156,12 +83,19 @@ class Scanner:
             self.automaton.add_word(k.decode(), v)
         self.automaton.make_automaton()
 
-    def detect(self, low: bytes) -> list[tuple[int, int, int]]:
+    def gate(self, low: bytes) -> set[int]:
+        """Rules whose keyword occurs.  Keywords hold single blanks, so white space and comment marks count as one."""
+        words = low.split()
+        if any(x in low for x in (b"*", b"#", b"/", b";")):
+            words = [w for w in words if w[0] not in b"*#/;" or not _MARKS.match(w)]
+        out: set[int] = set()
+        for _, own in self.automaton.iter(b" ".join(words).decode("latin-1")):
+            out.update(own)
+        return out
+
+    def detect(self, low: bytes, prefilter: bool = True) -> list[tuple[int, int, int]]:
         """(start, end, rule) of the detections that stay, by start."""
-        # Keywords hold single blanks, so any white space counts as one here.
-        gate: set[int] = set()
-        for _, own in self.automaton.iter(b" ".join(low.split()).decode("latin-1")):
-            gate.update(own)
+        gate = self.gate(low) if prefilter else range(len(self.rules))
         found = [(m.start(), m.end(), i) for i in sorted(gate) for m in self.rules[i].pattern.finditer(low)]
         return suppress(found, [r.priority for r in self.rules])
 

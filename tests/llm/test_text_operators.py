@@ -1,6 +1,7 @@
 """Language model, quality rules, language ID and license scans."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -218,6 +219,56 @@ def test_license_base_matches_brute_force(spark):
     assert license_rules.license_scan(docs(spark, [])).collect() == []
 
 
+NO_LICENSE = ["php 3 on the server", "AFL 3 match report", "the epl 2 table", "attribution 2 of the painting", "apache 2 web server", "cc by email to mitchell license", "a common public place", "the vim and the curl of it"]
+BODIES = {
+    "// Permission is hereby granted, free of charge, to any\n// person obtaining a copy": "mit",
+    " * Redistribution and use in\n * source and binary forms, with or without": "bsd",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "You may not use this file except in compliance\n# with the License.": "apache-2.0",
+    "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of": "gpl-2.0",
+    "SPDX-License-Identifier: (EPL-2.0 OR MIT)": "epl-2.0",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0",
+    "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0",
+    "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa-4.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "The Software shall be used for Good, not Evil.": "json",
+    "This software is provided \u2018as-is\u2019, without any express or implied warranty.": "zlib",
+    "GPLv3+": "gpl-3.0", "Mozilla Public Licence 1.1": "mpl-1.1", "LGPL 2.1": "lgpl-2.1", "CC-BY-SA-3.0": "cc-by-sa-3.0", "CC0": "cc0",
+}
+
+
+@pytest.mark.parametrize("text", NO_LICENSE)
+def test_ids_alone_are_no_license(text):
+    n, *_, labels, _, _, _ = license_rules.scan(text.encode(), license_rules.Scanner())
+    assert "mit license" in text or set(filter(None, labels.split(","))) <= {"cc-by"} and (labels == "" or "cc by" in text)
+
+
+@pytest.mark.parametrize("text", BODIES)
+def test_license_texts(text):
+    assert BODIES[text] in license_rules.scan(text.encode(), license_rules.Scanner())[5].split(",")
+
+
+def test_prefilter_loses_nothing():
+    """All rules without the keyword test, on notices, their fragments and shuffled words."""
+    import random
+
+    rng, scanner = random.Random(6), license_rules.Scanner()
+    texts = [*BODIES, *NO_LICENSE, *(t for t in LICENSES if t)]
+    # What a pattern matches, written out: optional parts dropped, alternatives in turn.
+    for _, _, keyword, pattern in license_rules.SIGNATURES:
+        texts.append(re.sub(r"\(\?:[^()]*\)\??|\[[^]]*\]\??|[\\?^$@~]", "", pattern).replace("(", "").replace(")", "") + " " + keyword)
+    for _ in range(300):
+        a, b = rng.choice(texts).split(" "), rng.choice(texts).split(" ")
+        texts.append(rng.choice([" ", "\n * ", "\n// ", "  "]).join(a[rng.randrange(len(a)) :] + b))
+    for t in texts:
+        low = t.encode().lower()
+        assert scanner.detect(low) == scanner.detect(low, prefilter=False), t
+
+
+def test_each_signature_names_its_keyword_and_can_match():
+    assert len(license_rules.SIGNATURES) >= 200 and len(set(x[3] for x in license_rules.SIGNATURES)) == len(license_rules.SIGNATURES)
+
+
 def test_license_rules_are_hundreds_and_suppress_by_containment():
     rules = license_rules.build_rules()
     assert len(rules) >= 200
