@@ -355,15 +355,64 @@ def test_mixing_plan_too_long_to_broadcast(spark, monkeypatch):
     assert sorted(map(str, pfair_mix.mix(df, block_docs=2).collect())) == want and len(want) == 200
 
 
-def test_vectors_of_every_length_are_linked(spark, monkeypatch):
-    # The plan of so many lengths is long; what matters here is that each of them is asked for.
-    asked = []
+def test_vectors_of_every_length_are_linked(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in range(1, 71):
+        v = rng.normal(size=n)
+        rows += [(10 * n, v.tolist()), (10 * n + 1, (v * 1.5 + 1e-3 * np.abs(v).max() * (np.arange(n) == 0)).tolist()), (10 * n + 2, (-v).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in pivot_permutation.near_duplicates(df).collect()}
+    assert out == {i: (0, i) if i % 10 == 2 else (1, i - i % 10) for i, _ in rows}
+
+
+def test_vectors_of_large_components_and_clashing_columns(spark):
+    rows = [(1, [1e200, 2e200, 0.0], 5, "x"), (2, [1.1e200, 2e200, 1e190], 5, "y"), (2, [0.0, 1e-200, 3e-200], 5, "z"), (3, [0.0, 1.1, 3.0], 1, "x"), (4, [-1e300, 0.0, 0.0], 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int, component_id string")
+    out = pivot_permutation.near_duplicates(df)
+    assert out.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True)}
 
-    def link(reps, kind, *rest):
-        asked.append(1)
-        return reps.sparkSession.createDataFrame([], "a long, b long, links long")
 
-    monkeypatch.setattr(pivot_permutation, "_link", link)
-    rows = [(n, [1.0] * n) for n in range(1, 71)]
+def test_vectors_under_one_id_are_one_node(spark):
+    rows = [(7, [1.0, 0.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0, 0.0]), (7, [0.0, 0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.1]), (9, [0.0, 1.0, 0.1, 0.0]), (2, [0.0, 0.0, 0.0, 1.0])]
     out = pivot_permutation.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    assert out.count() == 70 and len(asked) == 70
+    assert {tuple(r) for r in out.collect()} == {(7, 2, 3, False), (3, 1, 3, True), (9, 1, 3, False), (2, 0, 2, True)}
+
+
+def test_codes_bound_the_cosine():
+    rng = np.random.default_rng(3)
+    x = pivot_permutation.unit(np.vstack([rng.normal(size=(300, 40)), rng.standard_cauchy(size=(300, 40))]))
+    codes, scale, err = pivot_permutation.encode(x)
+    about = (codes * scale[:, None]) @ (codes * scale[:, None]).T
+    assert (np.abs(about - x @ x.T) <= err[:, None] + (1 + err[:, None]) * err[None, :] + 1e-12).all()
+
+
+def test_long_lists_are_split_and_open_pairs_verified(spark):
+    """A hot pivot: most vectors lie around one direction, many pairs near the threshold."""
+    rng = np.random.default_rng(8)
+    hot = np.array([1.0] + [0.0] * 15) * 2.6
+    rows = [(i, (hot + rng.normal(size=16) * (0.55 if i % 3 else 0.1)).tolist()) for i in range(240)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(60)]
+    links, comp = brute_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for chunk in (10_000, 60, 8):
+        out = pivot_permutation.near_duplicates(df, prefix=16, n_pivots=24, chunk=chunk).collect()
+        assert {r.vec_id: r.n_links for r in out} == links
+        assert {r.vec_id: r.component_id for r in out} == comp
+    assert 0.05 < sum(links.values()) / 240**2 < 0.95
+
+
+@pytest.mark.parametrize("n", [1_000, 100_000])
+def test_pairs_at_the_threshold_meet(n):
+    """The share of pairs at cosine 0.905 that share enough pivots, for the pivots of n vectors."""
+    rng = np.random.default_rng(n)
+    a = pivot_permutation.unit(rng.normal(size=(1500, 64)))
+    side = rng.normal(size=a.shape)
+    side = pivot_permutation.unit(side - (side * a).sum(1, keepdims=True) * a)
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * side
+    k = pivot_permutation.n_pivots_for(n)
+    pivots = pivot_permutation.fit_pivots(rng.normal(size=(min(n, 4096), 64)), k)
+    p, q = (pivot_permutation.permutation_prefix(x, pivots, pivot_permutation.prefix_for(k)) for x in (a, b))
+    same = p[:, :, None] == q[:, None, :]
+    shared = same.sum((1, 2)) - same[:, 0, -1] - same[:, -1, 0]
+    assert (shared >= 2).mean() >= 0.93
