@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -105,6 +106,26 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         drop_tables(spark, space)
 
 
+#: Bits of a filter for each value, and their power of two at most (128 MB).
+FILTER_SPACE, MAX_FILTER = 16, 30
+
+
+def bit_filter(values: DataFrame, column: str) -> np.ndarray:
+    """Bits for the hashes in ``column`` (see may_hold), sized by their number and MAX_FILTER."""
+    bits = 1 << min(MAX_FILTER, max(16, math.ceil(math.log2(FILTER_SPACE * max(1, values.count())))))
+    marked = values.select(F.pmod(F.col(column), F.lit(bits)).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    got = marked.toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return table
+
+
+def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among those of the filter; false only where it isn't."""
+    p = hashes & np.int64(64 * len(table) - 1)
+    return (table[p >> 6] >> (p & 63)) & 1 == 1
+
+
 def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut a record batch into runs of rows whose texts stay under ``limit`` bytes.
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, ids_and_text, materialize, scratch, slices
+from .common import bit_filter, drop_tables, ids_and_text, materialize, may_hold, scratch, slices
 from .graph import components
 
 #: Similarity in percent, and words of a shingle.
@@ -47,8 +47,6 @@ HOT_DF, MAX_HOT = 64, 1 << 20
 BLOCK, STAR = 64, 512
 #: Tokens beyond the least prefixes, in percent of the set.
 SPARE = 6
-#: Bits for each id of the filter that spares the second scan the texts of unlinked documents, and their power of two at most.
-FILTER_SPACE, MAX_FILTER = 16, 30
 #: Bits of a hash that stand for it in prefixes, and bytes of input for each bucket of packed tokens.
 KEY_BITS, BUCKET_BYTES = 42, 8 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -270,27 +268,19 @@ def cold_postings(sigs: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, tokens) for the rows whose id may be in ``ids`` (column id): a second scan.
 
-    A bit filter is broadcast, of FILTER_SPACE bits for each id and MAX_FILTER at most
-    (128 MB); what else it lets through is dropped by later joins.
+    A bit filter is broadcast; what else it lets through is dropped by later joins.
     """
-    bits = 1 << min(MAX_FILTER, max(16, math.ceil(math.log2(FILTER_SPACE * max(1, ids.count())))))
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    marked = ids.select(bit("id").alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-    got = marked.toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[got.column("w").to_numpy()] = got.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64("id").alias("h")), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in batches:
-            p = b.column(2).to_numpy()
-            b = b.filter(pa.array((table[p >> 6] >> (p & 63)) & 1 == 1))
+            b = b.filter(pa.array(may_hold(table, b.column(2).to_numpy())))
             for part, texts in slices(b):
                 sets = [shingles(t).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "tokens"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", bit("doc_id").alias("p"))
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     return rows.mapInArrow(run, "rep long, tokens binary")
 
 

@@ -1,6 +1,7 @@
 """Near duplicates of vectors and texts, substring dedup, mixing, components."""
 
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -130,18 +131,24 @@ def test_jaccard_join_empty_table(spark):
     assert group_matrix_join.near_duplicates(docs(spark, [])).collect() == []
 
 
+def minimal_runs(sizes, min_sentences=2, min_words=16):
+    """(first, end) of the shortest runs from each sentence on and up to each sentence's end."""
+    found = set()
+    for least in (1, min_sentences):
+        good = [(k, e) for k in range(len(sizes)) for e in range(k + least, min(len(sizes), k + 40) + 1) if sum(sizes[k:e]) >= min_words]
+        found |= {(k, min(e for x, e in good if x == k)) for k, _ in good} | {(max(k for k, x in good if x == e), e) for _, e in good}
+    return sorted(found)
+
+
 def brute_cut(rows, min_sentences=2, min_words=16):
     runs, first = {}, {}
     for i, t in sorted((i, t) for i, t in rows if t):
         cut = sentence_spans.sentences(t.encode())
         plain = [b" ".join(t.encode()[a:b].split()) for a, b in cut]
-        for k in range(len(plain)):
-            for e in range(k + min_sentences, len(plain) + 1):
-                if sum(len(x.split()) for x in plain[k:e]) >= min_words:
-                    key = tuple(plain[k:e])
-                    first.setdefault(key, (i, k))
-                    runs.setdefault(i, []).append((k, e, key))
-                    break
+        for k, e in minimal_runs([len(x.split()) for x in plain], min_sentences, min_words):
+            key = tuple(plain[k:e])
+            first.setdefault(key, (i, k))
+            runs.setdefault(i, []).append((k, e, key))
     out = {}
     for i, t in rows:
         gone = {x for k, e, key in runs.get(i, []) if first[key] != (i, k) for x in range(k, e)}
@@ -165,7 +172,7 @@ def test_substring_dedup_matches_brute_force(spark):
         if i % 3 == 0:
             body.insert(rng.randrange(len(body) + 1), passage)
         rows.append((i, "".join(body)))
-    rows += [(100, rows[5][1]), (101, None), (102, ""), (103, passage + passage), (104, "x " * 50_000)]
+    rows += [(100, rows[5][1]), (101, None), (102, ""), (103, passage + passage), (104, "x " * 500)]
     df = docs(spark, [(i, t, "s") for i, t in rows])
     out = sentence_spans.cut_repeats(df, report=True)
     assert out.columns == [*df.columns, "n_sentences", "n_removed"]
@@ -264,6 +271,72 @@ def test_every_repeated_stretch_of_over_50_words_is_cut(mark):
         assert found[0] & found[1], (trial, a, b)
 
 
+PLAIN_END = re.compile(rb"[.!?]+[\"')\]]*\Z")
+
+
+def plain_words(text):
+    dense = rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2}"
+    return [(m.start(), m.end()) for m in re.finditer(rb"(?:%s)|(?:(?!%s)\S)+" % (dense, dense), text)]
+
+
+def plain_runs(text, min_sentences=2, min_words=16):
+    """Sentences and runs of a text, word by word; runs as their words by sentence."""
+    words = plain_words(text)
+    begin = [i for i, (a, _) in enumerate(words) if i == 0 or a > words[i - 1][1] and (PLAIN_END.search(text[slice(*words[i - 1])]) or b"\n" in text[words[i - 1][1] : a])]
+    data = np.frombuffer(text + b"\n", np.uint8)
+    h = sentence_spans.word_hashes(data, *(np.array(x, np.int64) for x in zip(*words))) if words else []
+    cuts = set(begin)
+    for a, b in zip(begin, [*begin[1:], len(words)]):
+        if b - a > sentence_spans.LONG:
+            cuts |= {min(range(k, k + sentence_spans.ANCHOR), key=lambda i: (h[i], i)) for k in range(a, b - sentence_spans.ANCHOR + 1)}
+    begin = sorted(cuts)
+    parts = [[text[slice(*words[i])] for i in range(a, b)] for a, b in zip(begin, [*begin[1:], len(words)])]
+    found = {(k, e - k, tuple(map(tuple, parts[k:e]))) for k, e in minimal_runs(list(map(len, parts)), min_sentences, min_words)}
+    where = [0, *(words[i][0] for i in begin[1:]), len(text)]
+    return list(zip(where, where[1:])) if text else [], sorted(found)
+
+
+def test_cutting_and_hashing_match_a_plain_version():
+    rng = random.Random(12)
+    pieces = ["a", "bc", "the", "Mr.", "end.", "done!", 'so."', "(x.)", "é", "3.5", "...", "]]", "日本", "ไทย", "x日y", "\U00020000z"]
+    texts = ["", " \n ", "one", ". . .", "\n\nlead", "tail. \n"]
+    for _ in range(120):
+        texts.append("".join(rng.choice(pieces) + rng.choice([" ", " ", " ", "  ", "\n", " \n ", "\t", ""]) for _ in range(rng.randrange(1, 120))))
+    data = [t.encode() for t in texts]
+    which, first, n, h1, h2 = sentence_spans.slice_runs([*data, None], 2, 16)
+    by, hashes = {}, {}
+    for row in zip(which.tolist(), first.tolist(), n.tolist(), h1.tolist(), h2.tolist()):
+        by.setdefault(row[0], []).append(row[1:])
+    for i, t in enumerate(data):
+        ranges, want = plain_runs(t)
+        assert sentence_spans.sentences(t) == ranges
+        assert sorted((a, k) for a, k, *_ in by.get(i, [])) == [(a, k) for a, k, _ in want]
+        for (a, k, *h), (_, _, words) in zip(sorted(by.get(i, [])), want):
+            assert hashes.setdefault(words, h) == h
+    assert len({tuple(h) for h in hashes.values()}) == len(hashes) > 500
+
+
+def test_a_word_longer_than_a_stroke(monkeypatch):
+    text = ("ab " * 40 + "x" * 5000 + " cd. ef " + "yz" * 300 + "\n").encode() * 2
+    want = sentence_spans.slice_runs([text], 2, 16)
+    monkeypatch.setattr(sentence_spans, "STROKE", 64)
+    assert all((a == b).all() for a, b in zip(want, sentence_spans.slice_runs([text], 2, 16)))
+
+
+def test_substring_dedup_edges(spark):
+    schema = "doc_id long, text string, n_sentences int, n_removed string, extra string"
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(None, passage, 1, "a", "x"), (None, passage, 1, "a", "x"), (1, passage, 1, "a", None), (2, None, 1, "a", "x"), (3, "  \n", None, None, None), (4, ("word " * 9 + ". ") * 30_000, 1, "a", "x")]
+    df = spark.createDataFrame(rows, schema)
+    out = sentence_spans.cut_repeats(df, report=True)
+    assert out.columns == ["doc_id", "text", "extra", "n_sentences", "n_removed"]
+    got = [tuple(r) for r in out.collect()]
+    assert sum(r[0] is None and r[1] == passage and r[4] == 0 for r in got) == 2  # null ids come first
+    by = {r[0]: r for r in got}
+    assert by[1][1] == "" and by[2][1] is None and by[2][3:] == (0, 0) and by[3][1:2] + by[3][3:] == ("  \n", 1, 0) and 0 < len(by[4][1]) < 200
+    assert sentence_spans.cut_repeats(df.limit(0), report=True).collect() == []
+
+
 def test_long_and_unmarked_sentences_are_cut(spark):
     rng = random.Random(1)
     fill = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
