@@ -147,13 +147,18 @@ def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -
     yield part, part.column(text_col).to_pylist()
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts, which buckets are sized by."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+
+
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple = ()) -> DataFrame:
     """Only the columns an operator reads, with UTF-8 bytes instead of strings."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *extra)
 
 
-def sum_blocks(df: DataFrame, dtype: str = "float64") -> DataFrame:
-    """Sum binary vectors by (key, block): columns key string, block int, data binary.
+def sum_blocks(df: DataFrame, dtype: str = "float64", sent: str | None = None) -> DataFrame:
+    """Sum binary vectors of ``sent`` (else ``dtype``) by (key, block): columns key string, block int, data binary.
 
     Rows stream through; a task holds one accumulator for each of its blocks, so
     memory doesn't depend on how many tasks sent partial sums.
@@ -163,11 +168,11 @@ def sum_blocks(df: DataFrame, dtype: str = "float64") -> DataFrame:
         acc: dict[tuple, np.ndarray] = {}
         for b in batches:
             for key, block, data in zip(*(c.to_pylist() for c in b.columns)):
-                v = np.frombuffer(data, dtype=dtype)
+                v = np.frombuffer(data, dtype=sent or dtype)
                 if (key, block) in acc:
                     acc[key, block] += v
                 else:
-                    acc[key, block] = v.copy()
+                    acc[key, block] = v.astype(dtype)
         if acc:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in acc], pa.string()), pa.array([b for _, b in acc], pa.int32()), pa.array([v.tobytes() for v in acc.values()], pa.binary())],

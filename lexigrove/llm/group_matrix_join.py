@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, drop_tables, ids_and_text, materialize, may_hold, scratch, slices
+from .common import bit_filter, drop_tables, ids_and_text, materialize, may_hold, scratch, slices, text_bytes
 from .graph import components
 
 #: Similarity in percent, and words of a shingle.
@@ -87,11 +87,6 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _size(df: DataFrame) -> int:
-    """Bytes of the files that ``df`` reads, as the optimizer knows them."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def bucket_bits(size: int) -> int:
     """Bits of a token that name its bucket: a bucket holds a few MB, whatever the size of the input."""
     return min(KEY_BITS - 24, max(10, math.ceil(math.log2(max(1, size) / BUCKET_BYTES))))
@@ -138,7 +133,7 @@ def token_counts(docs: DataFrame, bits: int) -> DataFrame:
 
 def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """The most frequent tokens, at most MAX_HOT, in order, the power of two of each one's df, and their bits."""
-    bits = bucket_bits(_size(docs))
+    bits = bucket_bits(text_bytes(docs))
     with scratch(docs.sparkSession) as space:
         counts = materialize(token_counts(docs, bits), "token-counts", space).withColumn("k", F.floor(F.log2("df")).cast("int"))
         per = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.count("*").alias("n")).collect()}

@@ -1,28 +1,34 @@
 """LM scoring: hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history).  Histories are
-described by hashed n-gram and skip features (previous word, previous two, the one
-before the last, the one before that).  Words are sorted by count: the most
-frequent fill ``HEAD_CLASSES`` classes of ``WIDTH`` words, in which a softmax with
-features of its own tells the words apart; the rest of the vocabulary forms classes
-of equal mass, and all other words, unseen ones included, one last class; in these
-a word's probability is its share of the counts.  Every level sums to 1.
-
-Training is by distributed gradient updates: in each round, every task sums the
-gradient of its documents (observed minus expected feature counts) at the broadcast
-weights, the sums meet by blocks of rows, and the driver applies one preconditioned
-step to weights of fixed size.  The rounds share out the training documents, so each
-counts once.  Counts of words cover all training documents; the vocabulary that is
-broadcast has at most ``MAX_VOCABULARY`` words, and the counts of all others come
-from a join.
-
-Defined results: a null or empty text has only its end token; rows with a null id
-are training rows; repeated rows count and are scored each on its own; without
-training rows every probability is 1; extra columns are ignored.
+P(word | history) = P(class | history) * P(subclass | class, history) * share.
+Histories are described by hashed n-gram and skip features (previous word, previous
+two, the one before the last).  Words are sorted by count: the most frequent fill
+``HEAD_CLASSES`` classes of ``WIDTH`` words, each a subclass of its own; the rest of
+the vocabulary forms classes of equal mass, each cut into ``WIDTH`` subclasses of
+equal mass, in which a word has its share of the counts; all other words, unseen ones
+included, are one last class.  Both softmaxes have features; every level sums to 1.
+
+Training is by distributed gradient updates.  The texts are turned into word numbers
+once.  One pass over all training rows sums the observed counts of (feature, outcome);
+every further pass (``STEPS``) sums the expected counts at the broadcast weights, and
+the driver takes a step along the log of observed to expected, which has the sign of
+the gradient and vanishes with it.  Sums are in double precision and meet by blocks of
+rows.  Every training row counts in every pass.
+
+Sizes: counts of words cover all training rows; the vocabulary that is broadcast has at
+most ``MAX_VOCABULARY`` words, and the counts of all others come from a join.  The
+hashed tables grow with the training tokens, up to 2^``MAX_BITS`` rows (25 MB), which
+bounds what is broadcast and what each task sends.
+
+Defined results: a null or empty text has only its end token; texts of any length are
+read whole; rows with a null id are training rows; repeated rows count and are scored
+each on its own; words of equal count go by their bytes; without training rows every
+probability is 1; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -38,12 +44,15 @@ from .common import ids_and_text, materialize, scratch, slices, sum_blocks
 END = b"\n"
 MAX_VOCABULARY = 1 << 17
 CLASSES, HEAD_CLASSES, WIDTH = 64, 32, 32
-#: Bits of the hashed feature tables of both levels, and rows of a block of sums.
-BITS, BLOCK = 14, 256
-ROUNDS, STEPS, SMOOTH = 2, (0.45, 0.3), 4.0
+#: Bits of the hashed feature tables at least and at most, training tokens for each row, rows of a block of sums.
+MIN_BITS, MAX_BITS, TOKENS_A_ROW, BLOCK = 12, 16, 64, 256
+#: Step at weights of zero (classes only, from the observed counts), and steps of the passes.
+FIRST_STEP, STEPS = 0.45, (0.35, 0.3)
+#: What shrinks a step where counts are small: outcomes as expected, and of each kind.
+AS_EXPECTED, OF_EACH = 6.0, 2.0
 #: Tokens handled at once in numpy, and distinct words counted before they are sent.
 CHUNK, COUNTED = 1 << 14, 200_000
-N_FEATURES, WORD_FEATURES = 4, (0, 1, 2)
+FEATURES = 3
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -87,31 +96,30 @@ class Model:
     def __init__(self, tokens: list[bytes], counts: np.ndarray, total: int, distinct: int):
         """tokens by falling count; total and distinct are those of the training rows."""
         self.tokens, self.counts, self.total, self.distinct = tokens, counts.astype("f8"), total, distinct
+        self.bits = min(MAX_BITS, max(MIN_BITS, round(math.log2(max(1, total) / TOKENS_A_ROW))))
         k = len(tokens)
         head = min(k, HEAD_CLASSES * WIDTH)
         self.cls, self.slot = np.full(k + 1, CLASSES - 1, np.int16), np.zeros(k + 1, np.int16)
         self.cls[:head], self.slot[:head] = np.arange(head) // WIDTH, np.arange(head) % WIDTH
         mid = self.counts[head:]
         if len(mid):
-            mass = (np.cumsum(mid) - mid) / mid.sum()
-            self.cls[head:k] = HEAD_CLASSES + np.minimum((mass * (CLASSES - 1 - HEAD_CLASSES)).astype(int), CLASSES - 2 - HEAD_CLASSES)
+            at = (np.cumsum(mid) - mid) / mid.sum() * (CLASSES - 1 - HEAD_CLASSES)
+            own = np.minimum(at.astype(int), CLASSES - 2 - HEAD_CLASSES)
+            self.cls[head:k] = HEAD_CLASSES + own
+            self.slot[head:k] = np.minimum(((at - own) * WIDTH).astype(int), WIDTH - 1)
         # One more than counted for the last class: room for words never seen.
         self.rest = max(0.0, total - self.counts.sum()) + max(0, distinct - k) + 1.0
-        size = np.bincount(self.cls[:k], self.counts, CLASSES)
+        inner = np.zeros((CLASSES, WIDTH))
+        np.add.at(inner, (self.cls[:k], self.slot[:k]), self.counts)
+        size = inner.sum(axis=1)
         size[CLASSES - 1] += self.rest
         self.prior = size / size.sum()
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             self.bias = np.maximum(np.log(self.prior), -1e4).astype("f4")
-            self.word_log = np.zeros(k + 1)
-            self.word_log[head:k] = np.log(self.counts[head:] / size[self.cls[head:k]])
-            self.word_log[k] = -np.log(self.rest)
-            own = np.zeros((HEAD_CLASSES, WIDTH))
-            own[self.cls[:head], self.slot[:head]] = self.counts[:head]
-            self.own_prior = own / np.maximum(own.sum(axis=1, keepdims=True), 1)
-            self.own_bias = np.maximum(np.log(self.own_prior), -1e4).astype("f4")
+            self.inner_bias = np.maximum(np.log(inner / np.maximum(inner.sum(axis=1, keepdims=True), 1)), -1e4).astype("f4")
+            self.word_log = np.append(np.log(self.counts / inner[self.cls[:k], self.slot[:k]]), -np.log(self.rest))
         self.base_log10 = np.append(np.log10(self.counts + 1), 0.0)
-        self.w1 = np.zeros((1 << BITS, CLASSES), "f4")
-        self.w2 = np.zeros((1 << BITS, WIDTH), "f4")
+        self.w = [np.zeros((1 << self.bits, CLASSES), "f4"), np.zeros((1 << self.bits, WIDTH), "f4")]
         self._index: dict[bytes, int] | None = None
 
     def __getstate__(self) -> dict:
@@ -123,124 +131,173 @@ class Model:
             self._index = {t: i for i, t in enumerate(self.tokens)}
         return self._index
 
-    def read(self, texts: list[bytes | None], keep_rest: bool = True) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Token numbers of all texts in a row, their places in the text, and each text's words outside the vocabulary."""
+    def read(self, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
+        """The text's word numbers, the end's included, and its words outside the vocabulary."""
         get, k = self.index.get, len(self.tokens)
-        end, parts, rest = get(END, k), [], []
-        for t in texts:
-            words = (t or b"").lower().split()
-            own = np.empty(len(words) + 1, np.int64)
-            own[:-1] = np.fromiter(map(get, words, repeat(k)), np.int64, len(words))
-            own[-1] = end
-            parts.append(own)
-            if keep_rest:
-                rest.append([words[i] for i in np.flatnonzero(own[:-1] == k)])
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.concatenate(parts), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), rest
+        words = (text or b"").lower().split()
+        own = np.empty(len(words) + 1, np.int32)
+        own[:-1] = np.fromiter(map(get, words, repeat(k)), np.int32, len(words))
+        own[-1] = get(END, k)
+        return own, [words[i] for i in np.flatnonzero(own[:-1] == k)]
 
     def features(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Hashes of the history's features (features x tokens, 32 bits)."""
         start = len(self.tokens) + 1
         before = []
-        for k in (1, 2, 3):
+        for k in (1, 2):
             u = np.full(len(ids), start, np.uint32)
             u[k:] = np.where(place[k:] >= k, ids[:-k] if k < len(ids) else ids[:0], start)
             before.append(u)
-        u1, u2, u3 = before
-        h = np.stack([u1 * np.uint32(0x9E3779B1) + np.uint32(1), (u1 * np.uint32(0x85EBCA6B)) ^ (u2 * np.uint32(0xC2B2AE35)), u2 * np.uint32(0x27D4EB2F) + np.uint32(3), u3 * np.uint32(0x165667B1) + np.uint32(7)])
+        u1, u2 = before
+        h = np.stack([u1 * np.uint32(0x9E3779B1) + np.uint32(1), (u1 * np.uint32(0x85EBCA6B)) ^ (u2 * np.uint32(0xC2B2AE35)), u2 * np.uint32(0x27D4EB2F) + np.uint32(3)])
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
         return h
 
-    def levels(self, ids: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
-        """Of both levels: rows of features, right outcome, its logit, exponentials and their sums, tokens that take part.
-
-        Steps are bounded, so logits stay far below overflow.
-        """
-
-        def level(f: np.ndarray, right: np.ndarray, w: np.ndarray, logits: np.ndarray) -> tuple:
-            for row in f:
-                logits += w.take(row, axis=0)
-            own = logits[np.arange(len(right)), right]
-            np.exp(logits, out=logits)
-            return f, right, own, logits, logits @ np.ones(logits.shape[1], "f4")
-
-        f = (h >> np.uint32(32 - BITS)).astype(np.int16)
-        yield *level(f, self.cls[ids], self.w1, np.repeat(self.bias[None, :], len(ids), axis=0)), slice(None)
-        head = np.flatnonzero(ids < min(len(self.tokens), HEAD_CLASSES * WIDTH))
-        if len(head):
-            c = self.cls[ids[head]]
-            f = ((h[np.array(WORD_FEATURES)[:, None], head] ^ (c.astype(np.uint32) * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)).astype(np.int16)
-            yield *level(f, self.slot[ids[head]], self.w2, self.own_bias[c]), head
+    def rows(self, ids: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of both levels: rows of the features, right outcome, tokens that take part."""
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        shift = np.uint32(32 - self.bits)
+        yield (h >> shift).astype(kind), self.cls[ids], np.arange(len(ids))
+        known = np.flatnonzero(ids < len(self.tokens))
+        c = self.cls[ids[known]].astype(np.uint32)
+        yield ((h[:, known] ^ (c * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B) >> shift).astype(kind), self.slot[ids[known]], known
+
+    def logits(self, level: int, f: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Steps are bounded, so logits stay far below overflow."""
+        out = np.repeat(self.bias[None, :], len(ids), axis=0) if level == 0 else self.inner_bias[self.cls[ids]]
+        for row in f:
+            out += self.w[level].take(row, axis=0)
+        return out
 
     def log_p(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Natural log probability of each token; in the last class without the word's own count."""
-        out = np.zeros(len(ids))
+        out = self.word_log[ids]
         h = self.features(ids, place)
         for lo in range(0, len(ids), CHUNK):
             own = ids[lo : lo + CHUNK]
-            part = self.word_log[own].copy()
-            for _, _, logit, _, z, which in self.levels(own, h[:, lo : lo + CHUNK]):
-                part[which] += logit - np.log(z)
-            out[lo : lo + CHUNK] = part
+            part = out[lo : lo + CHUNK]
+            for level, (f, right, which) in enumerate(self.rows(own, h[:, lo : lo + CHUNK])):
+                x = self.logits(level, f, own[which])
+                mine = x[np.arange(len(right)), right]
+                np.exp(x, out=x)
+                part[which] += mine - np.log(x @ np.ones(x.shape[1], "f4"))
         return out
 
-    def gradient(self, ids: np.ndarray, place: np.ndarray, sums: list[np.ndarray], visits: list[np.ndarray]) -> None:
-        """Add observed minus expected counts of each level to sums, and how often each row was active."""
+    def observed(self, ids: np.ndarray, place: np.ndarray, sums: list[np.ndarray]) -> None:
+        """Add how often each outcome met each row of features."""
+        h = self.features(ids, place)
+        for lo in range(0, len(ids), CHUNK):
+            for level, (f, right, _) in enumerate(self.rows(ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK])):
+                np.add.at(sums[level].reshape(-1), (f.astype(np.int64) * sums[level].shape[1] + right).ravel(), 1.0)
+
+    def expected(self, ids: np.ndarray, place: np.ndarray, sums: list[np.ndarray]) -> None:
+        """Add how often each outcome is expected with each row of features."""
         h = self.features(ids, place)
         for lo in range(0, len(ids), CHUNK):
-            for level, (f, right, _, p, z, _) in enumerate(self.levels(ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK])):
-                p *= (np.float32(-1) / z)[:, None]
-                p[np.arange(len(right)), right] += np.float32(1)
+            own = ids[lo : lo + CHUNK]
+            for level, (f, _, which) in enumerate(self.rows(own, h[:, lo : lo + CHUNK])):
+                if not len(which):
+                    continue
+                x = self.logits(level, f, own[which])
+                np.exp(x, out=x)
+                x *= (np.float32(1) / (x @ np.ones(x.shape[1], "f4")))[:, None]
                 for row in f:
-                    add_rows(sums[level], row, p)
-                    visits[level] += np.bincount(row, minlength=1 << BITS)
-
-    def update(self, sums: list[np.ndarray], visits: list[np.ndarray], step: float) -> None:
-        """One step: each weight moves by the log of observed to expected, as far as visits tell."""
-        for w, g, n, prior in ((self.w1, sums[0], visits[0], self.prior), (self.w2, sums[1], visits[1], np.full(WIDTH, 1 / WIDTH))):
-            x = g / (n[:, None] * prior + SMOOTH)
-            # Rounded, so that the order of sums between runs leaves no trace.
-            w += np.round(step * np.log1p(np.clip(x, -0.95, 50.0)), 3).astype("f4")
-
-
-def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """``docs``: doc_id, text; every row takes part in one round."""
-    spark = docs.sparkSession
-    part = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(rounds))
-    rows = 1 << BITS
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            sums = [np.zeros((rows, CLASSES), "f4"), np.zeros((rows, WIDTH), "f4")]
-            visits = [np.zeros(rows, np.int64), np.zeros(rows, np.int64)]
-            some = False
-            for b in batches:
-                for _, texts in slices(b):
-                    some = True
-                    ids, place, _ = model.read(texts, False)
-                    model.gradient(ids, place, sums, visits)
-            if some:
-                # A block's rows, then its visits, in one vector.
-                for level in (0, 1):
-                    data = [np.concatenate([sums[level][i : i + BLOCK].ravel(), visits[level][i : i + BLOCK].astype("f4")]).tobytes() for i in range(0, rows, BLOCK)]
-                    yield pa.RecordBatch.from_arrays([pa.array([str(level)] * len(data)), pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary())], names=["key", "block", "data"])
-
-        total = sum_blocks(docs.where(part == r).mapInArrow(run, "key string, block int, data binary"), "float32").toArrow()
-        sums, visits = [np.zeros((rows, CLASSES)), np.zeros((rows, WIDTH))], [np.zeros(rows), np.zeros(rows)]
-        for key, block, data in zip(*(c.to_pylist() for c in total.columns)):
-            v, at = np.frombuffer(data, "f4"), slice(block * BLOCK, (block + 1) * BLOCK)
-            sums[int(key)][at], visits[int(key)][at] = v[:-BLOCK].reshape(BLOCK, -1), v[-BLOCK:]
-        model.update(sums, visits, STEPS[min(r, len(STEPS) - 1)])
-        shared.unpersist()
+                    add_rows(sums[level], row, x)
+
+    def update(self, level: int, seen: np.ndarray, expected: np.ndarray, step: float) -> None:
+        """Move each weight by the log of observed to expected counts, as far as there are counts."""
+        visits = expected.sum(axis=1, keepdims=True)
+        some = AS_EXPECTED * np.divide(expected, visits, out=np.zeros_like(expected), where=visits > 0) + OF_EACH
+        # Rounded, so that the order of sums between runs leaves no trace.
+        self.w[level] += np.round(step * np.log((seen + some) / (expected + some)), 3).astype("f4")
+
+    def tables(self) -> list[np.ndarray]:
+        return [np.zeros(w.shape) for w in self.w]
+
+
+def encode(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, row, and the text's word numbers (two bytes each, larger ones apart) and its words outside the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            for part, texts in slices(b):
+                small, large, rest = [], [], []
+                for t in texts:
+                    ids, others = model.read(t)
+                    big = ids >= 0xFFFF
+                    small.append(np.where(big, 0xFFFF, ids).astype("<u2").tobytes())
+                    large.append(ids[big].astype("<i4").tobytes())
+                    rest.append(others)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(small, pa.binary()), pa.array(large, pa.binary()), pa.array(rest, pa.list_(pa.binary()))], names=["doc_id", "held_out", "row", "small", "large", "rest"])
+
+    rows = docs.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, row long, small binary, large binary, rest array<binary>")
+
+
+def numbers(small: pa.Array, large: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows (from, to), their word numbers, and the places of these in their texts."""
+    small, large = small.to_pylist(), large.to_pylist()
+    lo = 0
+    while lo < len(small):
+        hi, size = lo, 0
+        while hi < len(small) and (hi == lo or size + len(small[hi]) <= 32 * CHUNK):
+            size += len(small[hi])
+            hi += 1
+        ids = np.frombuffer(b"".join(small[lo:hi]), "<u2").astype(np.int64)
+        ids[ids == 0xFFFF] = np.frombuffer(b"".join(large[lo:hi]), "<i4")
+        n = np.array([len(x) // 2 for x in small[lo:hi]])
+        yield lo, hi, ids, np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+        lo = hi
+
+
+def sums_over(rows: DataFrame, model: Model, what: str) -> list[np.ndarray]:
+    """Sum Model.observed or Model.expected over all rows (small, large)."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        sums, some = model.tables(), False
+        for b in batches:
+            for _, _, ids, place in numbers(b.column(0), b.column(1)):
+                some = True
+                getattr(model, what)(ids, place, sums)
+        if some:
+            for level, table in enumerate(sums):
+                for lo in range(0, len(table), 16 * BLOCK):
+                    data = [table[i : i + BLOCK].astype("f4").tobytes() for i in range(lo, min(lo + 16 * BLOCK, len(table)), BLOCK)]
+                    yield pa.RecordBatch.from_arrays([pa.array([str(level)] * len(data)), pa.array(range(lo // BLOCK, lo // BLOCK + len(data)), pa.int32()), pa.array(data, pa.binary())], names=["key", "block", "data"])
+
+    # A task sends tables of fixed size, so it should read a few times as much.
+    tasks = max(spark.sparkContext.defaultParallelism, 2 * model.total // (2 * sum(w.nbytes for w in model.w)))
+    found = sum_blocks(rows.select("small", "large").coalesce(tasks).mapInArrow(run, "key string, block int, data binary"), "float64", "float32")
+    out = model.tables()
+    for key, block, data in zip(*(c.to_pylist() for c in found.toArrow().columns)):
+        own = out[int(key)][block * BLOCK : (block + 1) * BLOCK]
+        own += np.frombuffer(data).reshape(own.shape)
+    shared.unpersist()
+    # Shuffle files go when the driver collects the plans that made them.
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def train(rows: DataFrame, model: Model, steps: tuple[float, ...] = STEPS) -> Model:
+    """``rows``: encoded training rows; each takes part in every pass."""
+    seen = sums_over(rows, model, "observed")
+    # At weights of zero every history expects the classes' shares.
+    model.update(0, seen[0], seen[0].sum(axis=1, keepdims=True) * model.prior, FIRST_STEP)
+    for step in steps:
+        for level, expected in enumerate(sums_over(rows, model, "expected")):
+            model.update(level, seen[level], expected, step)
     return model
 
 
-def fit(docs: DataFrame, space: list[str] | None = None) -> tuple[Model, DataFrame]:
-    """The trained model and the counts of all words of ``docs`` (doc_id, text)."""
+def vocabulary(docs: DataFrame, space: list[str] | None = None) -> tuple[Model, DataFrame]:
+    """An untrained model and the counts of all words of ``docs`` (doc_id, text)."""
     counts = materialize(word_counts(docs), "word-counts", space)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     level = F.floor(F.log2("c") * 32).cast("int")
@@ -254,36 +311,31 @@ def fit(docs: DataFrame, space: list[str] | None = None) -> tuple[Model, DataFra
     # The end token is always known.
     known = counts.where((level >= least if least is not None else F.lit(False)) | (F.col("token") == F.lit(END))).toArrow()
     pairs = sorted(zip(known.column("c").to_pylist(), known.column("token").to_pylist()), key=lambda x: (-x[0], x[1]))
-    model = Model([t for _, t in pairs], np.array([c for c, _ in pairs], "f8"), total, distinct)
-    return (train(docs, model) if total else model), counts
+    return Model([t for _, t in pairs], np.array([c for c, _ in pairs], "f8"), total, distinct), counts
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, space: list[str] | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, held_out) -> the contract's columns, one row for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(encoded: DataFrame, model: Model, counts: DataFrame, space: list[str] | None = None) -> DataFrame:
+    """Encoded rows -> the contract's columns, one row for each row."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = len(model.tokens)
         for b in batches:
-            for part, texts in slices(b):
-                ids, place, rest = model.read(texts)
+            for lo, hi, ids, place in numbers(b.column(3), b.column(4)):
                 first = np.flatnonzero(place == 0)
                 known = np.add.reduceat((ids < k).astype(np.int64), first)
                 base = np.add.reduceat(model.base_log10[ids], first)
                 log = np.add.reduceat(model.log_p(ids, place), first) / np.log(10)
                 n = np.diff([*first, len(ids)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), pa.array(n), pa.array(known), pa.array(base), pa.array(log), pa.array(rest, pa.list_(pa.binary()))],
-                    names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "log", "rest"],
-                )
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(n), pa.array(known), pa.array(base), pa.array(log)], names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "log"])
 
-    rows = docs.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, log double, rest array<binary>"), "scored", space)
+    rows = encoded.select("doc_id", "held_out", "row", "small", "large").mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, log double")
     # The exact way for words outside the broadcast vocabulary.
-    rest = rows.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("k"))
+    rest = encoded.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("k"))
     rest = rest.join(counts, "token").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("add"))
-    out = rows.select("doc_id", "held_out", "row", "n_tokens", "known", "base", "log").join(rest, "row", "left")
+    out = rows.join(rest, "row", "left")
     add = F.coalesce("add", F.lit(0.0))
     return out.select(
         "doc_id",
@@ -296,10 +348,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, space: list[str] | N
     )
 
 
-def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
+def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, steps: tuple[float, ...] = STEPS) -> DataFrame:
     """Score every row, with a model of the rows outside the held-out fold."""
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == held_fold, F.lit(False))
     docs = ids_and_text(documents, id_col, text_col, (held.alias("held_out"),))
     with scratch(docs.sparkSession) as space:
-        model, counts = fit(docs.where("not held_out").select("doc_id", "text"), space)
-        return materialize(score(docs, model, counts, space), "lm-scores")
+        model, counts = vocabulary(docs.where("not held_out").select("doc_id", "text"), space)
+        encoded = materialize(encode(docs, model), "word-numbers", space)
+        if model.total:
+            train(encoded.where("not held_out"), model, steps)
+        return materialize(score(encoded, model, counts, space), "lm-scores")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bit_filter, materialize, may_hold, scratch, slices
+from .common import bit_filter, materialize, may_hold, scratch, slices, text_bytes
 
 #: A sentence of more words is cut at anchors: of any ANCHOR words in a row, the first with the least hash.
 LONG, ANCHOR = 17, 16
@@ -252,7 +252,7 @@ def span_hashes(rows: DataFrame, table: np.ndarray, bits: int, min_sentences: in
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 16) -> DataFrame:
     """id, tid, cut: for each document with repeated runs, the runs to cut as (first, n)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("tid"))
-    bits = bucket_bits(int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    bits = bucket_bits(text_bytes(rows))
     with scratch(docs.sparkSession) as space:
         again = materialize(repeated_hashes(rows, bits, min_sentences, min_words), "hashes", space)
         spans = materialize(span_hashes(rows, bit_filter(again, "h"), bits, min_sentences, min_words), "spans", space)

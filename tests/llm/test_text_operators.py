@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrove.llm import language_nb, license_rules, maxent_lm, quality_gbt
 
@@ -41,11 +43,16 @@ def test_lm_matches_brute_force_base_and_is_a_distribution(spark):
     assert all(r["score"] < 0 for r in out)
 
 
+def trained(spark, df):
+    base = df.select("doc_id", df.text.cast("binary").alias("text"), F.lit(False).alias("held_out"))
+    model, _ = maxent_lm.vocabulary(base)
+    return maxent_lm.train(maxent_lm.encode(base, model), model)
+
+
 def test_lm_probabilities_sum_to_one(spark):
     df, _ = corpus(spark)
-    base = df.select("doc_id", df.text.cast("binary").alias("text"))
-    model, _ = maxent_lm.fit(base)
-    assert np.abs(model.w1).max() > 0 and np.abs(model.w2).max() > 0
+    model = trained(spark, df)
+    assert all(np.abs(w).max() > 0 for w in model.w)
     k = len(model.tokens)
     history = np.array([0, 1, k], np.int64)
     total = 0.0
@@ -56,6 +63,61 @@ def test_lm_probabilities_sum_to_one(spark):
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def plain_log_p(model, words):
+    """Log probability of each word and the end, one at a time, from the model's weights."""
+    number = {t: i for i, t in enumerate(model.tokens)}
+    k, mask = len(model.tokens), 0xFFFFFFFF
+    ids = [number.get(w, k) for w in [*words, b"\n"]]
+    out, met = [], []
+    for at, w in enumerate(ids):
+        u1, u2 = (ids[at - j] if at >= j else k + 1 for j in (1, 2))
+        hashes = []
+        for x in ((u1 * 0x9E3779B1 + 1) & mask, (u1 * 0x85EBCA6B & mask) ^ (u2 * 0xC2B2AE35 & mask), (u2 * 0x27D4EB2F + 3) & mask):
+            x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & mask
+            hashes.append(x ^ (x >> 13))
+        p = float(model.word_log[w])
+        for level, right, bias in ((0, int(model.cls[w]), model.bias), (1, int(model.slot[w]), model.inner_bias[model.cls[w]])):
+            if level and w == k:
+                continue
+            rows = [x >> (32 - model.bits) if not level else (((x ^ (int(model.cls[w]) * 0x9E3779B1 & mask)) * 0x85EBCA6B) & mask) >> (32 - model.bits) for x in hashes]
+            logits = [float(bias[c]) + sum(float(model.w[level][r, c]) for r in rows) for c in range(len(bias))]
+            z = sum(math.exp(x) for x in logits)
+            p += logits[right] - math.log(z)
+            met += [(level, r, right, [math.exp(x) / z for x in logits]) for r in rows]
+        out.append(p)
+    return out, met
+
+
+def test_lm_matches_a_plain_model(spark):
+    df, rows = corpus(spark)
+    model = trained(spark, df)
+    for text in (ENGLISH + "tail1 unseen", GERMAN, "", "the the the"):
+        ids, _ = model.read(text.encode())
+        got = model.log_p(ids.astype(np.int64), np.arange(len(ids)))
+        want, met = plain_log_p(model, text.encode().lower().split())
+        assert got == pytest.approx(want, abs=1e-3)
+        seen, expected = model.tables(), model.tables()
+        model.observed(ids.astype(np.int64), np.arange(len(ids)), seen)
+        model.expected(ids.astype(np.int64), np.arange(len(ids)), expected)
+        own, mine = model.tables(), model.tables()
+        for level, row, right, p in met:
+            own[level][row, right] += 1
+            mine[level][row] += p
+        assert all((a == b).all() for a, b in zip(seen, own)) and all(np.allclose(a, b, atol=1e-4) for a, b in zip(expected, mine))
+
+
+def test_lm_passes_come_closer_to_the_training_text(spark):
+    df, rows = corpus(spark)
+    scores = [sum(r.score for r in maxent_lm.lm_scores(df, steps=s).where("not held_out and doc_id < 900").collect()) for s in ((), maxent_lm.STEPS, maxent_lm.STEPS * 2)]
+    assert scores[0] < scores[1] < scores[2]
+
+
+def test_lm_numbers_beyond_two_bytes():
+    small, large = pa.array([np.array([1, 0xFFFF, 2, 0xFFFF], "<u2").tobytes(), b"", np.array([0xFFFF], "<u2").tobytes()], pa.binary()), pa.array([np.array([70_000, 0xFFFF], "<i4").tobytes(), b"", np.array([99_999], "<i4").tobytes()], pa.binary())
+    ((lo, hi, ids, place),) = maxent_lm.numbers(small, large)
+    assert (lo, hi, ids.tolist(), place.tolist()) == (0, 3, [1, 70_000, 2, 0xFFFF, 99_999], [0, 1, 2, 3, 0])
+
+
 def test_lm_beats_unigrams_on_held_out_text(spark):
     df, _ = corpus(spark)
     rows = maxent_lm.lm_scores(df.where("doc_id < 900")).where("held_out").collect()
