@@ -9,7 +9,12 @@ Defined results: null HTML gives null text, empty HTML empty text; an attribute
 quote is not closed ends at the next >; unclosed
 tags, comments and attributes end with the document; elements nest as deep as the
 page says, but beyond ``MAX_INDENT`` levels no more blanks are put before lines;
-repeated rows are rendered alike.
+repeated rows and rows with a null id are rendered alike; pages of any length are
+rendered whole; an empty table gives no rows; other columns are never read.
+
+Visible text is that of elements: drawings (svg text), formulas (math) and text areas
+count, lists of choices (select) and values of input fields don't.  Cells that span
+rows or columns hold their places; their text stands in the first of them.
 
 Styles: rules of simple selectors (tag, .class, #id, tag.class, tag#id) for display and
 visibility, by importance, specificity and order, as on a light screen of ``SCREEN``
@@ -32,15 +37,16 @@ from .common import map_arrow
 
 #: Levels of lists, quotes and definitions that are indented.
 MAX_INDENT = 150
-#: Columns are padded to at most this width; longer cells are written whole.
-PAD_WIDTH = 40
+#: A column of a table is as wide as its widest cell, up to this width; longer cells are
+#: broken between words (within a word only where one is longer), but for a row's last cell.
+PAD_WIDTH = 100
 #: Width and height that media conditions are held against.
 SCREEN = {"width": 1280, "height": 800}
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select textarea".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist select defs symbol metadata desc annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption ul xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre xmp blockquote table figure menu dir".split())
 CLOSES_P = BLOCKS - frozenset(("body", "html", "caption", "legend", "dd", "dt", "li")) | frozenset(("li", "dd", "dt"))
@@ -278,6 +284,8 @@ def parse(source: str) -> TreeBuilder:
                 tree.style(content)
             elif tag == "xmp":
                 tree.text(content)
+            elif tag == "textarea":
+                tree.text(html.unescape(content))
             at = stop.start()
     return tree
 
@@ -387,8 +395,11 @@ class Renderer:
                     block(["    " + r if r and indented else r for r in (yield self.lines(child, pre, level + 1))], False)
                 elif tag == "blockquote":
                     block(["  " + r if r and indented else r for r in (yield self.lines(child, pre, level + 1))], True)
-                elif tag in ("pre", "xmp"):
-                    block((yield self.lines(child, True, level)), True)
+                elif tag in ("pre", "xmp", "textarea"):
+                    block((yield self.lines(child, True, level)), tag != "textarea")
+                elif tag == "text":
+                    # A text of a drawing stands by itself.
+                    block((yield self.lines(child, pre, level)), False)
                 elif tag == "hr":
                     flush()
                     if out and out[-1]:
@@ -404,9 +415,11 @@ class Renderer:
 
     def table(self, node: Node, level: int = 0) -> Generator:
         head: list[str] = []
-        rows: list[list[tuple[list[str], int]]] = []
+        #: Cells of each row: lines, columns and rows that they span (None: to the end of their group).
+        rows: list[list[tuple[list[str], int, int | None]]] = []
+        groups: list[int] = []  # the group of each row
 
-        def collect(parent: Node) -> Generator:
+        def collect(parent: Node, group: int) -> Generator:
             for child in parent.children:
                 if isinstance(child, str):
                     if child.strip():
@@ -420,34 +433,68 @@ class Renderer:
                         extra = Node("div", {})
                         extra.children = loose
                         head.extend(trimmed((yield self.lines(extra, False, level))))
-                    row: list[tuple[list[str], int]] = []
+                    row: list[tuple[list[str], int, int | None]] = []
                     for c in cells:
                         text = yield self.lines(c, False, level)
-                        row.append(([r for r in trimmed(text) if r] or [""], max(1, min(1000, _int(c.attrs.get("colspan"), 1)))))
+                        down = _int(c.attrs.get("rowspan"), 1)
+                        row.append(([r for r in trimmed(text) if r] or [""], max(1, min(1000, _int(c.attrs.get("colspan"), 1))), None if down == 0 else max(1, min(65534, down))))
                     rows.append(row)
+                    groups.append(group)
                 elif child.tag in ("tbody", "thead", "tfoot"):
-                    yield collect(child)
+                    yield collect(child, len(rows) + 1)
                 else:
                     head.extend(trimmed((yield self.lines(child if child.tag == "caption" else _wrap(child), False, level))))
 
-        yield collect(node)
-        width: dict[int, int] = {}
-        for row in rows:
-            col = 0
-            for text, span in row:
-                if span == 1:
-                    width[col] = min(PAD_WIDTH, max([width.get(col, 0), *map(len, text)]))
-                col += span
-        out = head
-        for row in rows:
-            for k in range(max([len(t) for t, _ in row], default=0)):
-                line, col = [], 0
-                for text, span in row:
-                    w = sum(width.get(c, 0) for c in range(col, col + span)) + 2 * (span - 1)
-                    line.append((text[k] if k < len(text) else "").ljust(w))
-                    col += span
-                out.append("  ".join(line).rstrip())
-        return out
+        yield collect(node, 0)
+        return head + laid_out(rows, groups)
+
+
+def laid_out(rows: list[list[tuple[list[str], int, int | None]]], groups: list[int]) -> list[str]:
+    """The lines of a table: cells take the first free columns, which cells from above may hold."""
+    placed: list[list[tuple[int, int, list[str]]]] = []  # column, span, lines
+    held: dict[int, int | None] = {}  # column -> rows for which a cell from above still holds it
+    for r, row in enumerate(rows):
+        if r and groups[r] != groups[r - 1]:
+            held = {}
+        own, col, new = [], 0, {}
+        for text, span, down in row:
+            while col in held:
+                col += 1
+            own.append((col, span, text))
+            for c in range(col, col + span):
+                new[c] = None if down is None else down
+            col += span
+        placed.append(own)
+        held = {c: None if k is None else k - 1 for c, k in (held | new).items() if k is None or k > 1}
+    width: dict[int, int] = {}
+    for own in placed:
+        for col, span, text in own:
+            if span == 1:
+                width[col] = min(PAD_WIDTH, max([width.get(col, 0), *map(len, text)]))
+    out = []
+    for own in placed:
+        cells = []
+        for k, (col, span, text) in enumerate(own):
+            room = sum(width.get(c, 0) for c in range(col, col + span)) + 2 * (span - 1)
+            cells.append((col, text if k + 1 == len(own) else [x for t in text for x in broken(t, max(room, 1))]))
+        for k in range(max((len(t) for _, t in cells), default=0)):
+            line = ""
+            for col, text in cells:
+                if k < len(text) and text[k]:
+                    start = sum(width.get(c, 0) + 2 for c in range(col))
+                    line = line.ljust(start) + text[k]
+            out.append(line.rstrip())
+    return out
+
+
+def broken(text: str, room: int) -> list[str]:
+    """``text`` in lines of at most ``room`` characters, between words where it can be."""
+    out = []
+    while len(text) > room:
+        at = text.rfind(" ", 1, room + 1)
+        out.append(text[: at if at > 0 else room])
+        text = text[at + 1 :] if at > 0 else text[room:]
+    return [*out, text]
 
 
 def _wrap(node: Node) -> Node:

@@ -259,6 +259,117 @@ def test_styles_follow_the_cascade(css):
     assert got == ("text\nend" if STYLES[css] else "end")
 
 
+TABLES = {
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a  b\n   c",
+    "<table><tr><td>x<td rowspan=0>y<td>z<tr><td>1<td>2<tbody><tr><td>n<td>o<td>p</table>": "x  y  z\n1     2\nn  o  p",
+    "<table><tr><td rowspan=3>a<td colspan=2>wide one<tr><td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>": "a  wide one\n   b  c\n   d  e\nf  g  h",
+    "<table><tr><td>" + "w" * 50 + "<td>b<tr><td>a<td>c</table>": "w" * 50 + "  b\na" + " " * 51 + "c",
+    "<table><tr><td>" + "word " * 30 + "<td>b<tr><td>a<td>c</table>": ("word " * 20).strip().ljust(102) + "b\n" + ("word " * 10).strip() + "\na" + " " * 101 + "c",
+    "<table><tr><td>a<td>" + "long " * 60 + "</table>": "a  " + ("long " * 60).strip(),
+    "a <svg><defs><text>no</text></defs><title>no</title><text>one</text><text>two</text></svg> b": "a\none\ntwo\nb",
+    "x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>": "x y=2",
+    "<textarea>\n one\n  two &amp; <b></textarea>": " one\n  two & <b>",
+}
+
+
+@pytest.mark.parametrize("source", TABLES)
+def test_tables_drawings_and_text_areas(source):
+    assert html_layout.render(source) == TABLES[source]
+
+
+def test_no_visible_word_of_a_table_is_lost():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        words, source = [], "<table>"
+        for _ in range(rng.randrange(1, 6)):
+            source += "<tr>"
+            for _ in range(rng.randrange(1, 5)):
+                own = [f"w{rng.randrange(10**6)}" + "x" * rng.choice([0, 0, 0, 130]) for _ in range(rng.choice([1, 3, 40]))]
+                words += own
+                source += f"<td rowspan={rng.randrange(4)} colspan={rng.randrange(1, 4)}>{' '.join(own)}</td>"
+            source += "</tr>"
+        got = "".join(html_layout.render(source + "</table>").split())
+        assert sorted(got) == sorted("".join(words)) and all(w in got or len(w) > 100 or len(words) > 1 for w in words)
+
+
+class PlainPage:
+    """A page as a tree of marks, its source, and its text by the plain rules: a stream of texts and breaks."""
+
+    HIDE = ("<i hidden>{}</i>", "<div style='display:none'>{}</div>", "<script>{}</script>", "<b class=gone>{}</b>", "<select><option>{}</select>", "<!--{}-->")
+
+    def __init__(self, rng):
+        self.rng, self.n, self.events = rng, 0, []
+        self.source = "<style>.gone{display:none} @media print{p{display:none}}</style>" + self.blocks(4)
+
+    def word(self):
+        self.n += 1
+        return f"w{self.n}"
+
+    def inline(self):
+        out = ""
+        for _ in range(self.rng.randrange(1, 4)):
+            kind = self.rng.randrange(5)
+            if kind == 0:
+                out += self.rng.choice(self.HIDE[:1] + self.HIDE[2:]).format("no")
+            elif kind == 1:
+                w = self.word()
+                out += f"<span><em>{w}</em></span>"
+                self.events.append(w)
+            elif kind == 2:
+                out += " \n "
+                self.events.append(" ")
+            else:
+                w = self.word()
+                out += w
+                self.events.append(w)
+        return out
+
+    def blocks(self, depth):
+        out = ""
+        for _ in range(self.rng.randrange(1, 4)):
+            kind = self.rng.randrange(6) if depth else 0
+            if kind == 0:
+                out += self.inline()
+                continue
+            if kind == 5:
+                out += f"<div hidden>{'<div>no' * self.rng.randrange(1, 200)}</div>" if self.rng.random() < 0.3 else self.HIDE[1].format("<p>no")
+                out += "</div>" * out[out.rfind("<div hidden>") if "<div hidden>" in out else len(out) :].count("<div>no")
+                continue
+            gap, tag = (1, "div") if kind == 1 else (2, "p") if kind == 2 else (2, "h2") if kind == 3 else (1, "section")
+            at = len(self.events)
+            out += f"<{tag}>" + (self.inline() if tag in ("p", "h2") else self.blocks(depth - 1)) + f"</{tag}>"
+            # A block without visible text makes no space.
+            gap = gap if any(isinstance(e, str) and e.strip() for e in self.events[at:]) else 1
+            self.events[at:] = [gap, *self.events[at:], gap]
+        return out
+
+    def text(self):
+        lines, run, gap = [], "", 0
+        for e in [*self.events, 1]:
+            if isinstance(e, str):
+                run += e
+                continue
+            row = " ".join(run.split())
+            run = ""
+            if row:
+                if lines and gap == 2:
+                    lines.append("")
+                lines.append(row)
+                gap = 0
+            gap = max(gap, e)
+        return "\n".join(lines)
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_pages_match_a_plain_renderer(seed):
+    import random
+
+    page = PlainPage(random.Random(seed))
+    assert html_layout.render(page.source) == page.text()
+
+
 def test_xmp_and_style_of_another_medium_are_shown():
     assert html_layout.render("a<xmp>\n <b>x</b>  &amp;\n</xmp>b") == "a\n\n <b>x</b>  &amp;\n\nb"
     assert html_layout.render("<style media=print>p{display:none}</style><p>seen") == "seen"
