@@ -44,7 +44,7 @@ from .graph import components
 PERCENT, WORDS = 75, 5
 HOT_DF, MAX_HOT = 64, 1 << 20
 #: Members of a block; members verified by one task.
-BLOCK, STAR = 64, 512
+BLOCK, STAR = 64, 128
 #: Tokens beyond the least prefixes, in percent of the set.
 SPARE = 6
 #: Bits of a hash that stand for it in prefixes, and bytes of input for each bucket of packed tokens.
