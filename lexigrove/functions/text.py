@@ -84,14 +84,15 @@ def bind(value: Column, f) -> Column:
 
 
 def ngrams(words: Column, longest: int = 2) -> Column:
-    """All 1- to ``longest``-grams of an array of words."""
+    """All 1- to ``longest``-grams of an array of words that hold no white space.
 
-    def joined(w: Column, n: int) -> Column:
-        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+    Longer ones are read off the joined words by one expression each: from every
+    word on, what stands ahead; no array is made for a single n-gram.
+    """
 
     def of(w: Column) -> Column:
-        return F.concat(w, *(joined(w, n) for n in range(2, longest + 1)))
+        joined = F.array_join(w, " ")
+        return F.concat(w, *(F.regexp_extract_all(joined, F.lit(rf"(?=(\S+(?: \S+){{{n - 1}}}))\S+"), F.lit(1)) for n in range(2, longest + 1)))
 
     return bind(words, of)
 

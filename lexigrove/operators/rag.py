@@ -33,7 +33,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def chunk_id(id_col: str = "doc_id"):
-    return F.col(id_col).cast("long") * 1_000_000 + F.col("chunk_index")
+    return F.struct(F.col(id_col).alias("doc_id"), "chunk_index")
 
 
 def chunk_stats(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -46,13 +46,13 @@ def retrieve_tfidf(questions: DataFrame, chunks: DataFrame, top_k: int = 6, max_
     """query_id, rank, doc_id, chunk_index, similarity by TF-IDF over the chunks."""
     check_top_k(top_k)
     rows = chunks.withColumn("chunk_id", chunk_id())
-    counts = vectorize.term_counts(rows, id_col="chunk_id").persist()
+    counts = vectorize.term_counts(rows, id_col="chunk_id")
     n = rows.count()
-    vocab = vectorize.vocabulary(counts, n, max_features=max_features).persist()
+    vocab = vectorize.vocabulary(counts, n, max_features=max_features)
     weights = vectorize.tfidf(counts, vocab, n, "chunk_id")
     asked = questions.where(t.strip(F.col("text")) != "")
     ranked = vectorize.rank_by_similarity(weights, vectorize.query_weights(asked, vocab, n), rows.select("chunk_id"), asked, top_k, "chunk_id")
-    return ranked.select("query_id", "rank", F.expr("chunk_id div 1000000").alias("doc_id"), (F.col("chunk_id") % 1_000_000).cast("int").alias("chunk_index"), "similarity")
+    return ranked.select("query_id", "rank", "chunk_id.doc_id", "chunk_id.chunk_index", "similarity")
 
 
 def retrieve_vector(queries: DataFrame, vectors: DataFrame, docs: DataFrame, top_k: int = 6, id_col: str = "vec_id") -> DataFrame:

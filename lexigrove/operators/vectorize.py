@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 
 
+#: A vocabulary of at most so many terms is broadcast (some 40 bytes each); longer or unbounded ones are joined by a shuffle.
+MAX_BROADCAST_TERMS = 1 << 20
+
+
 def term_counts(docs: DataFrame, longest: int = 2, stop: tuple[str, ...] = t.ENGLISH_STOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf); counted within each document, so hot terms don't meet here."""
+    """(id, term, tf); counted within each document, so hot terms don't meet here.
+
+    Texts are dealt by id before they are taken apart: they are smaller than their
+    n-grams, which then need no further exchange to be counted or normed by id.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     terms = t.ngrams(t.word_tokens(F.col(text_col), stop), longest)
-    return docs.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return docs.select(id_col, text_col).repartition(n, id_col).select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
@@ -19,24 +28,24 @@ def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: float =
     v = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if max_features is None:
         return v
-    return v.orderBy(F.desc("cf"), "term").limit(max_features)
+    v = v.orderBy(F.desc("cf"), "term").limit(max_features)
+    return F.broadcast(v) if max_features <= MAX_BROADCAST_TERMS else v
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int, id_col: str = "doc_id") -> DataFrame:
     """tf * (ln((1+n)/(1+df)) + 1), each row of unit length."""
     w = counts.join(vocab.select("term", "df"), "term").withColumn("w", F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 def bm25(counts: DataFrame, vocab: DataFrame, n_docs: int, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id") -> DataFrame:
     """Okapi weights; lengths and their mean are taken after pruning, over all documents."""
-    kept = counts.join(vocab.select("term", "df"), "term")
-    lengths = kept.groupBy(id_col).agg(F.sum("tf").alias("len"))
-    total = lengths.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
+    # What is left after pruning has as many words as the vocabulary has occurrences.
+    total = vocab.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total"))
     avg = F.when(F.col("total") > 0, F.col("total") / F.lit(float(max(n_docs, 1)))).otherwise(F.lit(1.0))
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    j = kept.join(lengths, id_col).join(F.broadcast(total.select(avg.alias("avg"))))
+    j = counts.join(vocab.select("term", "df"), "term").withColumn("len", F.sum("tf").over(Window.partitionBy(id_col))).join(F.broadcast(total.select(avg.alias("avg"))))
     return j.select(id_col, "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))).alias("weight"))
 
 

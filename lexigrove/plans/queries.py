@@ -290,7 +290,6 @@ def chunk_join_doc(spark, d):
 
 def _ranked_items(spark, d, top_k):
     n, counts, words = _space(spark, d, min_df=1, max_df=1.0)
-    counts, words = counts.persist(), words.persist()
     asked = items(spark, d)
     return vectorize.rank_by_similarity(vectorize.tfidf(counts, words, n), vectorize.query_weights(asked, words, n), docs(spark, d), asked, top_k)
 

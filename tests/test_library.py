@@ -97,7 +97,8 @@ def test_neighbours(spark, monkeypatch):
     assert one.neighbor_id == 1 and abs(one.novelty_score) < 1e-9
     rng = np.random.default_rng(0)
     big = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(knn, "LEAST_ROWS", 7)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 7 * 8 * 8)
     a, b = ({r.vec_id: (r.neighbor_id, r.similarity) for r in knn.corpus_novelty(big, how).collect()} for how in ("native", "blocked"))
     assert {k: x[0] for k, x in a.items()} == {k: x[0] for k, x in b.items()} and all(abs(a[k][1] - b[k][1]) < 1e-12 for k in a)
     with pytest.raises(ValueError):
