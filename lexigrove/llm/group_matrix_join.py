@@ -151,7 +151,7 @@ def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         return token[order], k[order].astype(np.int8), bits + 24
 
 
-SIGNATURES = "doc_id long, n long, s1 long, s2 long, mins array<long>, cold binary, n_index int, hot array<long>, n_hot_index int"
+SIGNATURES = "doc_id long, n long, s1 long, s2 long, mins array<long>, cold binary, n_index int, hot array<long>, n_hot_index int, sketch binary"
 
 
 def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
@@ -167,11 +167,12 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray, int]) -> Data
         hot, level, bits = shared.value
         for b in batches:
             for part, texts in slices(b):
-                n, sig, mins, cold, warm, own = [], [], [], [], [], []
+                n, sig, mins, cold, warm, own, drawn = [], [], [], [], [], [], []
                 for t in texts:
                     s = shingles(t)
                     n.append(len(s))
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    drawn.append(sketch(s))
                     if not len(s):
                         mins.append([]), cold.append(b""), warm.append([]), own.append((0, 0))
                         continue
@@ -193,7 +194,7 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray, int]) -> Data
                 halves = np.frombuffer(b"".join(sig), np.int64).reshape(-1, 2)
                 i, j = zip(*own)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(mins, pa.list_(pa.int64())), pa.array(cold, pa.binary()), pa.array(i, pa.int32()), pa.array(warm, pa.list_(pa.int64())), pa.array(j, pa.int32())],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(mins, pa.list_(pa.int64())), pa.array(cold, pa.binary()), pa.array(i, pa.int32()), pa.array(warm, pa.list_(pa.int64())), pa.array(j, pa.int32()), pa.array(drawn, pa.binary())],
                     names=[x.split()[0] for x in SIGNATURES.split(", ")],
                 )
 
@@ -279,15 +280,70 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "rep long, tokens binary")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, members: DataFrame, space: list[str], percent: int = PERCENT) -> DataFrame:
+def sketch(s: np.ndarray) -> bytes:
+    """The size of a set and a bitmap of its tokens, four to eight bits each."""
+    bits = 1 << max(6, (4 * len(s) - 1).bit_length())
+    marks = np.zeros(bits, bool)
+    marks[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return len(s).to_bytes(8, "little") + np.packbits(marks, bitorder="little").tobytes()
+
+
+def _marks(x: bytes) -> tuple[int, np.ndarray]:
+    return int.from_bytes(x[:8], "little"), np.frombuffer(x, np.uint64, offset=8)
+
+
+def most_common(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> int:
+    """At most so many tokens are in both sets: each mark of one that the other lacks is a token for itself."""
+    (n, x), (m, y) = a, b
+    k = min(len(x), len(y))
+    if len(x) != len(y):  # the longer bitmap is folded to the length of the shorter
+        x, y = (np.bitwise_or.reduce(v.reshape(-1, k), axis=0) for v in (x, y))
+    both = int(np.bitwise_count(x & y).sum())
+    return min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum())) + both
+
+
+def deal(pairs: DataFrame, members: DataFrame, sets: DataFrame, space: list[str]) -> DataFrame:
+    """Rows (g, part, q, rep, one, tokens) by group and part: members first (q null), then queries.
+
+    A group with many queries is dealt over several tasks.
+    """
+    parts = pairs.groupBy("g").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    held = members.join(parts, "g").select("g", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("q"), "rep", "one")
+    many = materialize(parts.where("parts > 1"), "parts", space)
+    asked = pairs.join(many, "g", "left").select("g", F.pmod(F.xxhash64("q"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "q", F.col("q").alias("rep"), F.lit(False).alias("one"))
+    rows = held.union(asked).join(sets, "rep").select("g", "part", "q", "rep", "one", "tokens")
+    return rows.repartition("g", "part").sortWithinPartitions("g", "part", F.col("q").asc_nulls_first())
+
+
+def verify(docs: DataFrame, pairs: DataFrame, members: DataFrame, sketches: DataFrame, space: list[str], percent: int = PERCENT) -> DataFrame:
     """Open groups: pairs (g, q) and members (g, rep, one) -> the links (a, b) of q with members.
 
-    A task holds one group's sets (a block of them at most) and their union; queries
-    pass by one at a time, and only those that the union can satisfy meet the members.
-    ``one``: the members are linked already, so a single link is enough.  A group with
-    many queries is dealt over several tasks.
+    First the members' bitmaps, a sixteenth of their sets, tell which queries can reach
+    any of them; the whole sets of the others are never read.  A task holds one group's
+    sets (a block of them at most) and their union; queries pass by one at a time, and
+    only those that the union can satisfy meet the members.  ``one``: the members are
+    linked already, so a single link is enough.
     """
 
+    def fits(n: int, m: int, common: int) -> bool:
+        return 100 * min(n, m) >= percent * max(n, m) and 100 * common >= percent * (n + m - common)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for batch in batches:
+            g_out, q_out = [], []
+            for g, part, q, rep, _, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, part) != key:
+                    key, own = (g, part), []
+                t = _marks(t)
+                if q is None:
+                    own.append((rep, t))
+                elif any(rep != q and fits(x[0], t[0], most_common(x, t)) for rep, x in own):
+                    g_out.append(g)
+                    q_out.append(q)
+            if g_out:
+                yield pa.RecordBatch.from_arrays([pa.array(g_out, pa.int64()), pa.array(q_out, pa.int64())], names=["g", "q"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, union, one = None, [], None, False
         for batch in batches:
@@ -318,15 +374,11 @@ def verify(docs: DataFrame, pairs: DataFrame, members: DataFrame, space: list[st
 
     with scratch(docs.sparkSession) as own_space:
         pairs = materialize(pairs, "pairs", own_space)
-        parts = pairs.groupBy("g").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-        held = materialize(members.join(parts, "g"), "opened", own_space)
-        ids = held.select(F.col("rep").alias("id")).union(pairs.select(F.col("q").alias("id")))
-        sets = materialize(sets_of(docs, ids), "sets", own_space)
-        left = held.join(sets, "rep").select("g", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("q"), "rep", "one", "tokens")
-        many = pairs.join(parts.where("parts > 1"), "g", "left")
-        right = many.join(sets, F.col("q") == F.col("rep")).select("g", F.pmod(F.xxhash64("q"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "q", "rep", F.lit(False).alias("one"), "tokens")
-        rows = left.union(right).repartition("g", "part").sortWithinPartitions("g", "part", F.col("q").asc_nulls_first())
-        return materialize(rows.mapInArrow(run, "a long, b long"), "verified", space)
+        drawn = sketches.select(F.col("doc_id").alias("rep"), F.col("sketch").alias("tokens"))
+        left = materialize(deal(pairs, members, drawn, own_space).mapInArrow(sift, "g long, q long").distinct(), "sifted", own_space)
+        held = materialize(members.join(left.select("g").distinct(), "g"), "opened", own_space)
+        ids = held.select(F.col("rep").alias("id")).union(left.select(F.col("q").alias("id")))
+        return materialize(deal(left, held, sets_of(docs, ids), own_space).mapInArrow(run, "a long, b long"), "verified", space)
 
 
 def _close(n: str, m: str) -> Column:
@@ -361,7 +413,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         sigs = materialize(signatures(docs, hot_tokens(docs)), "signatures", first_space)
         met_cold = materialize(cold_postings(sigs), "cold-postings", space)
         # The cold tokens, most of the table, have done their part.
-        sigs = materialize(sigs.drop("cold", "n_index"), "rows", space)
+        sketches = materialize(sigs.where("n > 0 and doc_id is not null").select("doc_id", "sketch"), "sketches", space)
+        sigs = materialize(sigs.drop("cold", "n_index", "sketch"), "rows", space)
         drop_tables(docs.sparkSession, first_space)
         some = sigs.where("n > 0 and doc_id is not null")
         classes = materialize(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes", space)
@@ -373,7 +426,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         first = mins.groupBy("k", "v").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
         met = mins.join(materialize(first, "leaders", space), ["k", "v"])
         pairs = met.where((F.col("rep") != F.col("lead.rep")) & _close("n", "lead.n")).select(F.col("lead.rep").alias("g"), F.col("rep").alias("q")).distinct()
-        near = verify(docs, pairs, pairs.select("g", F.col("g").alias("rep"), F.lit(True).alias("one")).distinct(), space)
+        near = verify(docs, pairs, pairs.select("g", F.col("g").alias("rep"), F.lit(True).alias("one")).distinct(), sketches, space)
         comp = components(near, space=space)
         # Classes without a link are grouped by the minimum hash that most share.
         most = met.groupBy("rep").agg(F.max(F.struct("c", F.xxhash64("k", "v").alias("key"))).alias("m")).select("rep", F.col("m.key").alias("key"))
@@ -403,7 +456,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         # 3. The bound, over the sizes that a member can have.
         met = met.withColumn("low", F.greatest("low", F.expr(f"(qn * {PERCENT} + 99) div 100"))).withColumn("high", F.least("high", "qn"))
         pairs = met.where(_opens()).select("g", "q")
-        more = verify(docs, pairs, group.select("g", "rep", "one"), space)
+        more = verify(docs, pairs, group.select("g", "rep", "one"), sketches, space)
 
         final = components(more.union(comp.select("component", "node")), space=space)
         named = classes.join(final, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))

@@ -408,6 +408,17 @@ def test_jaccard_join_at_random_sizes(spark):
     assert len(pairs) > 40 and {r.doc_id: r.component_id for r in out} == want
 
 
+def test_sketches_bound_the_intersection():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        n, m, common = rng.integers(1, 400), rng.integers(1, 400), rng.integers(0, 300)
+        core = rng.integers(0, 1 << 63, common).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([core, rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in (n, m))
+        most = group_matrix_join.most_common(*(group_matrix_join._marks(group_matrix_join.sketch(x)) for x in (a, b)))
+        both = len(np.intersect1d(a, b))
+        assert both <= most <= both + 0.45 * min(len(a), len(b)) + 12
+
+
 def test_buckets_grow_with_the_input():
     bits = [group_matrix_join.bucket_bits(x) for x in (0, 10**9, 10**12, 10**15)]
     assert bits[0] == bits[1] == 10 and bits[1] < bits[2] <= bits[3] <= group_matrix_join.KEY_BITS - 24
