@@ -105,8 +105,9 @@ def predicate(tree: tuple, tokens: Column, text: Column) -> Column:
 
 def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of the documents that match."""
-    rows = docs.where(t.strip(F.col(text_col)) != "").select(id_col, F.col(text_col).alias("_text"), t.index_tokens(F.col(text_col)).alias("_tokens"))
-    return rows.where(predicate(parse(query), F.col("_tokens"), F.col("_text"))).select(id_col)
+    # The tokens are bound to a variable, as each term of the query would else take them anew.
+    found = t.bind(t.index_tokens(F.col(text_col)), lambda tokens: predicate(parse(query), tokens, F.col(text_col)))
+    return docs.where((t.strip(F.col(text_col)) != "") & found).select(id_col)
 
 
 def top(docs: DataFrame, query: str, top_k: int = 10, id_col: str = "doc_id") -> DataFrame:

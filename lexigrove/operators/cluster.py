@@ -216,3 +216,8 @@ def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int, met
             c = up[c]
         out.append(number.get(c, NOISE))
     return out
+
+
+def assignment_rows(points: DataFrame, places: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Points (see assign_noise, and further columns) with their place in the plane (id, x, y) and their colour."""
+    return points.join(places.select(id_col, "x", "y"), id_col, "left").withColumn("color", v.cluster_color(F.col("cluster")))

@@ -75,3 +75,33 @@ def dashboard_clusters(labels: DataFrame, points: DataFrame) -> DataFrame:
     j = labels.join(have, "cluster", "left")
     color = F.when(F.col("points").isNull(), F.lit(v.NO_POINTS_COLOR)).otherwise(v.cluster_color(F.col("cluster")))
     return j.select("cluster", "label", F.coalesce("num_docs", "points", F.lit(0)).alias("num_docs"), F.coalesce("dominant_domain", F.lit("unknown")).alias("dominant_domain"), color.alias("color"))
+
+
+def dashboard_rows(labels: DataFrame, terms: DataFrame, points: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One whole row for each label: keywords, terms, members, domains, a sample and a colour.
+
+    ``labels``: cluster, label, and keywords (array) where there are any; ``terms``: see
+    tfidf_terms.  Without points the counts are 0, the lists empty and the colour grey.
+    """
+    by = terms.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("tfidf_terms"))
+    keywords = F.col("keywords") if "keywords" in labels.columns else F.array().cast("array<string>")
+    j = labels.select("cluster", "label", keywords.alias("keywords")).join(by, "cluster", "left").join(summary(points, id_col), "cluster", "left")
+    color = F.when(F.col("num_docs").isNull(), F.lit(v.NO_POINTS_COLOR)).otherwise(v.cluster_color(F.col("cluster")))
+    empty = F.array().cast("array<string>")
+    return j.select(
+        "cluster", "label", F.coalesce("keywords", empty).alias("keywords"), F.coalesce("tfidf_terms", empty).alias("tfidf_terms"), F.coalesce("num_docs", F.lit(0)).alias("num_docs"),
+        F.coalesce("dominant_domain", F.lit("unknown")).alias("dominant_domain"), "domain_breakdown", "sample_docs", color.alias("color"),
+    )
+
+
+# The files of assignments by method.
+ASSIGNMENT_FILES = {
+    "baseline": "baseline_cluster_assignments.json",
+    "sota": "sota_cluster_assignments.json",
+    "umap_hdbscan": "umap_hdbscan_assignments.json",
+}
+
+
+def assignments_path(folder: str, method: str, chosen: str = "") -> str:
+    """Where a method's assignments are: the file that is named, else the method's own in ``folder``."""
+    return chosen or f"{folder.rstrip('/')}/{ASSIGNMENT_FILES.get(method, method + '_cluster_assignments.json')}"

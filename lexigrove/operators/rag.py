@@ -18,6 +18,10 @@ ANSWER = (
     ".",
 )
 CONTEXT_HEADER = "[Patent %s | %s | score=%.3f]\n%s"
+# What a language model is told, and how it is asked.
+SYSTEM_MESSAGE = "You are a patent analysis assistant. Answer only from the provided retrieval context. Be concise, mention uncertainty when needed, and cite patent ids explicitly."
+USER_MESSAGE = "Question: {question}\n\nRetrieved context:\n{context}"
+TEMPERATURE = 0.2
 TOP_K_RANGE = (1, 10)
 
 
@@ -55,6 +59,24 @@ def retrieve_tfidf(questions: DataFrame, chunks: DataFrame, top_k: int = 6, max_
     return ranked.select("query_id", "rank", "chunk_id.doc_id", "chunk_id.chunk_index", "similarity")
 
 
+def messages(question: str, text: str) -> list[dict[str, str]]:
+    """The two messages that a chat model gets."""
+    return [{"role": "system", "content": SYSTEM_MESSAGE}, {"role": "user", "content": USER_MESSAGE.format(question=question, context=text)}]
+
+
+def retrieve_chunk_vectors(queries: DataFrame, chunk_vectors: DataFrame, top_k: int = 6) -> DataFrame:
+    """query_id, rank, doc_id, chunk_index, similarity by inner product over the chunks' vectors.
+
+    ``queries``: query_id, embedding; ``chunk_vectors``: doc_id, chunk_index, embedding.  Equal
+    scores go to the smaller number of the chunk in order of (doc_id, chunk_index) hashes.
+    """
+    check_top_k(top_k)
+    numbered = chunk_vectors.withColumn("chunk_id", F.xxhash64("doc_id", "chunk_index"))
+    asked = queries.select(F.col("query_id").alias("chunk_id"), "embedding")
+    near = knn.nearest(asked, numbered, top_k, id_col="chunk_id").withColumnRenamed("neighbor_id", "chunk_id")
+    return near.join(numbered.select("chunk_id", "doc_id", "chunk_index"), "chunk_id").select("query_id", "rank", "doc_id", "chunk_index", F.col("score").alias("similarity"))
+
+
 def retrieve_vector(queries: DataFrame, vectors: DataFrame, docs: DataFrame, top_k: int = 6, id_col: str = "vec_id") -> DataFrame:
     """The same by inner product; metadata by a left lookup with defaults."""
     near = knn.nearest(queries, vectors, check_top_k(top_k), id_col=id_col)

@@ -178,7 +178,7 @@ def oracle_sql() -> dict[str, str]:
     color = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(v.PALETTE))
     color = f"CASE WHEN cluster = -1 THEN '{v.NOISE_COLOR}' ELSE CASE cluster % {len(v.PALETTE)} {color} END END"
     n_white = lambda c: f"len({white_words(c)})"
-    return {
+    found = {
         "scan_documents": "SELECT doc_id, lang, source, n_chars, length(text) AS length FROM documents",
         "scan_vectors": "SELECT vec_id, label, len(embedding) AS dim FROM embeddings",
         "vector_stats": "SELECT count(*) AS n, max(len(embedding)) AS dim, round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm FROM embeddings",
@@ -258,7 +258,12 @@ def oracle_sql() -> dict[str, str]:
         "cluster_label_merge": f"WITH {LABELS}, {SUMMARY} SELECT cluster, label, num_docs, dominant_domain FROM lab JOIN summ USING (cluster)",
         "dashboard_clusters": f"WITH {LABELS}, {SUMMARY} SELECT cluster, label, num_docs, dominant_domain, {color} AS color FROM lab JOIN summ USING (cluster)",
         "dashboard_summary": f"WITH {TABLE} SELECT (SELECT count(*) FROM pts) AS n_points, (SELECT count(DISTINCT cluster) FROM pts WHERE cluster <> -1) AS n_clusters, (SELECT count(*) FROM pts WHERE cluster = -1) AS n_noise, round({ARI}, 6) AS ari, round({MI} / (({H_TRUE} + {H_PRED}) / 2), 6) AS nmi, round({MI} / {H_TRUE}, 6) AS homogeneity, round({PURITY.format('')}, 6) AS purity",
+        "dashboard_rows": f"WITH {LABELS}, {SUMMARY}, smp AS (SELECT cluster, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS sample_docs FROM (SELECT cluster, doc_id FROM dp WHERE cluster <> -1 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY doc_id) <= 5) GROUP BY 1), tt AS (SELECT cluster, string_agg(term, '|' ORDER BY rank) AS tfidf_terms FROM ctt GROUP BY 1) SELECT cluster, label, '' AS keywords, tfidf_terms, num_docs, dominant_domain, domain_breakdown, sample_docs, {color} AS color FROM lab JOIN tt USING (cluster) JOIN summ USING (cluster) JOIN smp USING (cluster)",
         "domain_share": f"WITH {DOC_POINTS}, b AS (SELECT cluster, domain, count(*) AS n FROM dp WHERE cluster <> -1 GROUP BY 1, 2) SELECT cluster, domain, floor(n * 100 / sum(n) OVER (PARTITION BY cluster) + 0.5)::BIGINT AS percent FROM b",
         "cluster_color": f"WITH {ASSIGN} SELECT vec_id, {color} AS color FROM pts",
         "plot_scale": f"WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p) SELECT vec_id, round({_scale('x', 'x0', 'x1', 1040, 64, False)}, 6) AS px, round({_scale('y', 'y0', 'y1', 700, 64, True)}, 6) AS py FROM p, e",
     }
+    # Queries over others.
+    found["dashboard_metrics"] = f"SELECT * FROM ({found['dashboard_summary']}) CROSS JOIN (SELECT round(avg(silhouette), 6) AS silhouette FROM ({found['silhouette'].replace(', 6) AS silhouette', ', 15) AS silhouette')}))"
+    found["assignment_rows"] = f"SELECT n.vec_id, n.cluster, raw_cluster, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y, was_noise, {color.replace('cluster', 'n.cluster')} AS color FROM ({found['assign_noise']}) n JOIN embeddings USING (vec_id)"
+    return found

@@ -486,6 +486,31 @@ def dashboard_clusters(spark, d):
     return labels.dashboard_clusters(merged, p)
 
 
+@query
+def dashboard_rows(spark, d):
+    """Every field of the dashboard's clusters, lists written as text."""
+    p, terms = doc_points(spark, d), _terms(spark, d)
+    r = labels.dashboard_rows(labels.label(terms, p.where("cluster <> -1")), terms, p)
+    domains = F.array_join(F.transform("domain_breakdown", lambda x: F.concat(x["domain"], F.lit(":"), x["n"].cast("string"))), ",")
+    sample = F.array_join(F.transform("sample_docs", lambda x: x.cast("string")), ",")
+    return r.select("cluster", "label", F.array_join("keywords", "|").alias("keywords"), F.array_join("tfidf_terms", "|").alias("tfidf_terms"), "num_docs", "dominant_domain", domains.alias("domain_breakdown"), sample.alias("sample_docs"), "color")
+
+
+@query
+def dashboard_metrics(spark, d):
+    """The summary with the mean silhouette of the points that are no noise."""
+    mean = knn.silhouette(points(spark, d).where("cluster <> -1")).agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
+    return dashboard_summary(spark, d).join(F.broadcast(mean))
+
+
+@query
+def assignment_rows(spark, d):
+    """Points with place, raw noise mark and colour; the first two components stand for the place."""
+    places = vecs(spark, d).select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    r = cluster.assignment_rows(assign_noise(spark, d), places, "vec_id")
+    return r.select("vec_id", "cluster", "raw_cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "was_noise", "color")
+
+
 @query
 def dashboard_summary(spark, d):
     p = points(spark, d)

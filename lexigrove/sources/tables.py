@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -131,3 +131,15 @@ def write_table(df: DataFrame, path: str, by: str | None = None, fmt: str = "par
     """One table instead of a file for each row; optionally a folder for each value of ``by``."""
     w = df.write.mode("overwrite").format(fmt)
     (w.partitionBy(by) if by else w).save(path)
+
+
+def write_records(records: DataFrame, path: str, text: Column, by: str = "domain", id_col: str = "patent_id") -> None:
+    """Records as JSON lines and their rendered texts as a table of (id, text), both in folders by ``by``."""
+    records.write.mode("overwrite").partitionBy(by).json(f"{path.rstrip('/')}/json")
+    records.select(id_col, by, text.alias("text")).write.mode("overwrite").partitionBy(by).parquet(f"{path.rstrip('/')}/text")
+
+
+def write_run(assignments: DataFrame, metrics: DataFrame, path: str, method: str) -> None:
+    """A clustering run: its assignments, and its one row of metrics with the method's name."""
+    assignments.write.mode("overwrite").json(f"{path.rstrip('/')}/{method}_assignments")
+    metrics.select(F.lit(method).alias("method"), *metrics.columns).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{method}_metrics")

@@ -196,6 +196,81 @@ def test_service(spark):
     assert sem["retrieval_mode"] == "semantic" and sem["matches"][0]["doc_id"] == 4 and sem["interpretation"] == v.BANDS[0]
 
 
+def test_service_answers_questions_by_chunk_vectors(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{k}" for k in range(300)), f"T{i}", "d") for i in range(4)], "doc_id long, text string, title string, domain string")
+    chunks = spark.createDataFrame([(i, c, [float(i == k) + 0.1 * c for k in range(4)]) for i in range(4) for c in range(2)], "doc_id long, chunk_index int, embedding array<double>")
+    asked = []
+    s = service.Service(spark, docs, encoder=lambda q: [0, 0, 1, 0], chunk_vectors=chunks, chat=lambda m: asked.append(m) or "told")
+    a = s.ask("which?", 2)
+    assert a["retrieval_mode"] == "semantic" and (a["answer"], a["mode"]) == ("told", "llm")
+    assert [(c["doc_id"], c["chunk_index"], c["rank"]) for c in a["retrieved_chunks"]] == [(2, 1, 1), (2, 0, 2)] and a["supporting_documents"] == [{"doc_id": 2, "title": "T2", "domain": "d"}]
+    assert s.health()["runtime"]["chunk_index_vectors"] == 8 and s.health()["runtime"]["llm_configured"]
+    system, user = rag.messages("which?", "context")
+    assert (system["role"], user["role"]) == ("system", "user") and user["content"] == "Question: which?\n\nRetrieved context:\ncontext"
+
+    def broken(text):
+        raise OSError("no encoder today")
+
+    fallen = service.Service(spark, docs, encoder=broken, chunk_vectors=chunks, mode="semantic")
+    assert fallen.ask("word3x7", 1)["retrieval_mode"] == "tfidf" and fallen.ask("word3x7", 1)["retrieved_chunks"][0]["doc_id"] == 3
+
+
+def test_service_dashboard_and_errors(spark):
+    s = service.Service(spark, records(spark))
+    assert s.handle("dashboard")[0] == 503
+    points = spark.createDataFrame([(1, 0, "a", 0.0, 1.0), (2, 0, "b", 1.0, 1.0), (3, 1, "a", 0.5, 0.0), (4, -1, "a", 0.0, 0.0)], "doc_id long, cluster int, domain string, x double, y double")
+    named = spark.createDataFrame([(0, "Zero", ["k"]), (1, "One", []), (7, "Gone", None)], "cluster int, label string, keywords array<string>")
+    terms = spark.createDataFrame([(0, 2, "beta"), (0, 1, "alpha"), (1, 1, "gamma")], "cluster int, rank int, term string")
+    s.clusters, s.assignments = labels.dashboard_rows(named, terms, points), points
+    s.metrics = spark.createDataFrame([(0.5, 3)], "ari double, noise_points int")
+    status, page, headers = s.handle("dashboard", request_id="r1")
+    assert status == 200 and headers == {"X-Request-ID": "r1"} and set(page) == {"summary", "metrics", "clusters", "points"}
+    assert page["summary"] == {"num_documents": 4, "num_clusters": 3, "noise_points": 3, "ari": 0.5, "nmi": None, "homogeneity": None, "purity": None, "silhouette": None}
+    zero, one, gone = page["clusters"]
+    assert (zero["keywords"], zero["tfidf_terms"], zero["num_docs"], zero["dominant_domain"], zero["sample_docs"]) == (["k"], ["alpha", "beta"], 2, "a", [1, 2])
+    assert gone["num_docs"] == 0 and gone["dominant_domain"] == "unknown" and gone["color"] == v.NO_POINTS_COLOR and one["tfidf_terms"] == ["gamma"]
+    s.max_points = 3
+    assert s.handle("dashboard")[0] == 503
+    assert s.handle("health")[1]["status"] == "ok" and s.handle("nothing")[0] == 404
+    for body, status in (({}, 422), ({"question": 3}, 422), ({"question": "x", "top_k": 11}, 422), ("{bad", 422), ("[1]", 422), ({"question": "  "}, 400)):
+        assert s.handle("rag", body)[0] == status
+    assert s.handle("novelty", {"top_k": True})[0] == 422 and s.handle("novelty", {})[0] == 400
+    status, body, _ = s.handle("novelty", '{"title": "special3", "top_k": 1}')
+    assert status == 200 and body["matches"][0]["doc_id"] == 3
+    s.close()
+    s.documents = None
+    assert s.handle("novelty", {"title": "x"})[:2] == (500, {"detail": "Internal server error"})
+
+
+def test_files_of_methods_and_runs(spark, tmp_path):
+    assert labels.assignments_path("/d/", "sota") == "/d/sota_cluster_assignments.json" and labels.assignments_path("/d", "mine") == "/d/mine_cluster_assignments.json" and labels.assignments_path("/d", "sota", "/x.json") == "/x.json"
+    rows = spark.createDataFrame([("A", "d1", "t"), ("B", "d2", "u")], "patent_id string, domain string, title string")
+    tables.write_records(rows, f"{tmp_path}/r", F.concat(F.lit("Title: "), "title"))
+    assert {(r.patent_id, r.text, r.domain) for r in spark.read.parquet(f"{tmp_path}/r/text").collect()} == {("A", "Title: t", "d1"), ("B", "Title: u", "d2")}
+    assert spark.read.json(f"{tmp_path}/r/json").count() == 2
+    tables.write_run(rows, spark.createDataFrame([(0.5,)], "ari double"), f"{tmp_path}/c", "sota")
+    assert spark.read.json(f"{tmp_path}/c/sota_metrics").first().asDict() == {"method": "sota", "ari": 0.5} and spark.read.json(f"{tmp_path}/c/sota_assignments").count() == 2
+
+
+def test_chunks_of_any_id(spark):
+    text = " ".join(f"word{i}" for i in range(600))
+    docs = spark.createDataFrame([(-5, text), (2**62, text + " needle"), (7, "other " * 80)], "doc_id long, text string")
+    found = rag.retrieve_tfidf(spark.createDataFrame([(1, "needle")], "query_id long, text string"), rag.chunk_table(docs), 1).collect()
+    assert [(r.doc_id, r.chunk_index) for r in found] == [(2**62, 2)]
+
+
+def test_neighbours_by_product_settle_ties_as_ordered_sums_do(spark):
+    rng = np.random.default_rng(3)
+    m = np.round(rng.normal(size=(60, 12)), 1)
+    m[10:20] = m[0]
+    i, j, s = knn.best_rows(m, m, 4, np.eye(60, dtype=bool))
+    for q in range(60):
+        want = sorted(((-float(knn.ordered_dot(m[q : q + 1], m[c : c + 1])[0]), c) for c in range(60) if c != q))[:4]
+        assert [(-x, int(c)) for x, c in zip(s[i == q], j[i == q])] == want
+    with pytest.raises(Exception, match="several lengths"):
+        knn.corpus_novelty(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_settings_helpers():
     assert service.parse_env("# c\nA=1\nB = 'x=y'\n\nbad") == {"A": "1", "B": "x=y"}
     assert service.parse_bool("Yes") and not service.parse_bool("0") and service.parse_bool(None, True)
@@ -225,14 +300,41 @@ def test_search_source(spark):
     def client(params):
         if "solar" in params["q"]:
             raise OSError
-        return {"results": [{"publication_number": params["q"][:3], "title": "t", "language": "en"}]}
-
-    rows = search.search(spark, client, sleep=lambda s: None).collect()
-    assert len(rows) == len(search.DOMAINS) - 1
+        name, page = params["q"][:3], params["page"]
+        if name == "5G " and page > 1:
+            return {"organic_results": []}
+        own = [{"patent_id": f"patent/{name}{page}{i}/en", "publication_number": f"{name}{page}{i}", "title": "t", "language": ("EN", None, "de")[i % 3]} for i in range(8)]
+        return {"organic_results": [*own, {"title": "no id", "language": "en"}, {"patent_id": "scholar/1", "is_scholar": True}]}
+
+    rows = search.search(spark, client, sleep=lambda s: None, per_domain=14).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.domain, []).append(r.patent_id)
+    assert {k: len(x) for k, x in by.items()} == {"ai_machine_learning": 14, "biotechnology": 14, "semiconductor": 14, "telecommunications_5g": 6}
+    assert all(len(set(x)) == len(x) and all(x) for x in by.values()) and all(r.language != "de" for r in rows)
     waits = []
     assert search.fetch(lambda p: 1 / 0, {}, waits.append) is None and waits == [1.2, 2.4, 1.2, 4.8, 1.2, 9.6]
 
 
+def test_details_and_dry_run(spark):
+    found = spark.createDataFrame([("d", "p/1", "N1", "title one"), ("d", "p/2", "N2", "title two"), ("d", "p/1", "N1", "title one")], "domain string, patent_id string, publication_number string, title string")
+
+    def client(params):
+        if params["patent_id"] == "p/2":
+            raise OSError
+        assert params["engine"] == search.DETAIL_ENGINE
+        return {"title": "", "abstract": "long", "claims": ["c1", 2]}
+
+    got = search.details(found, client, sleep=lambda s: None)
+    rows = {r.patent_id: r for r in got.collect()}
+    assert (rows["p/1"].abstract, rows["p/1"].claims, rows["p/1"].found) == ("long", ["c1", "2"], True)
+    assert not rows["p/2"].found and rows["p/2"].title is None and rows["p/2"].claims is None
+    both = {r.patent_id: r for r in tables.assemble(found.dropDuplicates().drop("patent_id").withColumn("abstract", F.lit("")), got.drop("patent_id", "found", "description")).collect()}
+    assert (both["N1"].title, both["N1"].abstract) == ("title one", "long") and both["N2"].title == "title two"
+    assert search.dry_run(found) == {"total": 2, "done": 0, "pending": 2}
+    assert search.dry_run(found, found.where("publication_number = 'N2'")) == {"total": 2, "done": 1, "pending": 1}
+
+
 def test_scans_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"patent_id": "A",\n "title": "x"}')
