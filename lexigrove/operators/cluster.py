@@ -104,27 +104,101 @@ def counts(points: DataFrame, pred: str = "cluster") -> DataFrame:
     return points.agg(F.count("*").alias("n_points"), F.countDistinct(F.when(c != NOISE, c)).alias("n_clusters"), F.count_if(c == NOISE).alias("n_noise"))
 
 
-def hdbscan(points: DataFrame, min_cluster_size: int = 4, min_samples: int = 1, method: str = "leaf", max_points: int = 5000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """id, cluster: density clusters of at most ``max_points`` points (else an error).
+#: Points whose tree one task spans by itself, from a full matrix of distances.
+LOCAL_POINTS = 2000
+
+
+def hdbscan(points: DataFrame, min_cluster_size: int = 4, min_samples: int = 1, method: str = "leaf", max_points: int = 200_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """id, cluster: density clusters.
 
     Core distances, mutual reachability, minimum spanning tree, condensed tree and leaf
-    or excess-of-mass selection follow Campello, Moulavi and Sander (2013).  The tree is
-    built in one group, hence the bound on its size.
+    or excess-of-mass selection follow Campello, Moulavi and Sander (2013).  Beyond
+    ``LOCAL_POINTS`` the spanning tree is found by Boruvka's rounds, each an exact search
+    by blocks (see knn); its edges, one fewer than points, come to the driver, which
+    builds the condensed tree: some 1 KB a point, hence ``max_points`` (else an error).
     """
-    n = points.where(F.col(vec_col).isNotNull()).count()
-    if n > max_points:
-        raise ValueError(f"{n} points; at most {max_points} can be clustered in one group")
     if method not in ("leaf", "eom"):
         raise ValueError(f"unknown method {method!r}")
+    rows = points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    n = rows.count()
+    if n > max_points:
+        raise ValueError(f"{n} points; at most {max_points} can be clustered")
+    if n > LOCAL_POINTS:
+        ids = np.sort(rows.select("id").toArrow().column(0).to_numpy())
+        edges = spanning_tree(rows, ids, min_samples)
+        found = pa.table({"id": ids, "cluster": pa.array(tree_clusters(len(ids), edges, min_cluster_size, method), pa.int32())})
+        return points.sparkSession.createDataFrame(found, "id long, cluster int").withColumnRenamed("id", id_col)
 
     def fit(key: tuple, t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x = np.array(t.column("vec").to_pylist(), "f8")[order]
-        return pa.table({"id": ids[order], "cluster": pa.array(density_clusters(x, min_cluster_size, min_samples, method), pa.int32())})
+        t = t.sort_by("id")
+        x = np.array(t.column("vec").to_pylist(), "f8")
+        return pa.table({"id": t.column("id"), "cluster": pa.array(density_clusters(x, min_cluster_size, min_samples, method), pa.int32())})
+
+    return rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(fit, "id long, cluster int").withColumnRenamed("id", id_col)
+
 
-    rows = points.where(F.col(vec_col).isNotNull()).select(F.lit(0).alias("g"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return rows.groupBy("g").applyInArrow(fit, "id long, cluster int").withColumnRenamed("id", id_col)
+def spanning_tree(rows: DataFrame, ids: np.ndarray, min_samples: int) -> list[tuple[float, int, int]]:
+    """Edges (mutual reachability, place, place) of the minimum spanning tree over (id, vec); places are those in ``ids``.
+
+    In each round every component takes its nearest edge to another one; edges of equal
+    length go by their places, so that no round closes a circle.
+    """
+    from . import knn
+
+    spark = rows.sparkSession
+    core = knn.core_distance(rows, min_samples, False, "id", "vec").withColumnRenamed("core", "c").persist()
+    whole = rows.join(core, "id", "left").select("id", F.concat("vec", F.array(F.coalesce("c", F.lit(0.0)))).alias("vec")).persist()
+    component = np.arange(len(ids))
+
+    def step(q, x, others, tags, m):
+        # The last component of a vector is its core distance; tags are components of the tree.
+        d = np.sqrt(np.maximum(0, (x[:, :-1] ** 2).sum(1)[:, None] + (m[:, :-1] ** 2).sum(1)[None, :] - 2 * (x[:, :-1] @ m[:, :-1].T)))
+        d = np.maximum(d, np.maximum(x[:, -1:], m[None, :, -1]))
+        own = shared.value
+        mine = own[np.searchsorted(shared_ids.value, q)]
+        d[mine[:, None] == tags[None, :]] = np.inf
+        least = d.min(axis=1)
+        ok = np.isfinite(least)
+        if not ok.any():
+            return None
+        # Of equally near ones the first edge in order of its ends.
+        low, high = np.minimum(q[:, None], others[None, :]), np.maximum(q[:, None], others[None, :])
+        tie = d == least[:, None]
+        low = np.where(tie, low, np.iinfo(np.int64).max)
+        first = low.min(axis=1)
+        high = np.where(low == first[:, None], high, np.iinfo(np.int64).max).min(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(mine[ok]), pa.array(least[ok]), pa.array(first[ok]), pa.array(high[ok])], names=["own", "w", "a", "b"])
+
+    edges: list[tuple[float, int, int]] = []
+    shared_ids = spark.sparkContext.broadcast(ids)
+    while len(edges) < len(ids) - 1:
+        shared = spark.sparkContext.broadcast(component)
+        names = spark.createDataFrame(pa.table({"id": ids, "tag": component}), "id long, tag long")
+        tagged = whole.join(names, "id")
+        near = knn.block_pairs(whole, tagged, step, "own long, w double, a long, b long", "id", "vec", "tag")
+        best = near.groupBy("own").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct().toArrow()
+        taken = sorted(zip(best.column("w").to_pylist(), np.searchsorted(ids, best.column("a").to_numpy()).tolist(), np.searchsorted(ids, best.column("b").to_numpy()).tolist()))
+        parent = {int(c): int(c) for c in np.unique(component)}
+
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        before = len(edges)
+        for w, a, b in taken:
+            x, y = find(int(component[a])), find(int(component[b]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                edges.append((w, a, b))
+        shared.unpersist()
+        if len(edges) == before:
+            raise RuntimeError("the spanning tree did not grow: vectors with null or non-finite components")
+        component = np.array([find(c) for c in component.tolist()])
+    core.unpersist()
+    whole.unpersist()
+    return edges
 
 
 def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int, method: str) -> list[int]:
@@ -144,6 +218,13 @@ def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int, met
         near[closer], frm[closer] = reach[now][closer], now
         now = int(np.argmin(np.where(inside, np.inf, near)))
         edges.append((near[now], frm[now], now))
+    return tree_clusters(n, edges, min_cluster_size, method)
+
+
+def tree_clusters(n: int, edges: list[tuple[float, int, int]], min_cluster_size: int, method: str) -> list[int]:
+    """The cluster of each of n points, by the condensed tree of a spanning tree's edges."""
+    if n < 2:
+        return [NOISE] * n
     # Single-linkage tree: node n + i merges two nodes at a height.
     parent, left, right, height, size = list(range(n)), {}, {}, {}, {i: 1 for i in range(n)}
     top = {i: i for i in range(n)}

@@ -118,6 +118,33 @@ def test_hdbscan_on_separable_points(spark):
         cluster.hdbscan(df, max_points=5)
 
 
+def test_hdbscan_beyond_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(3 * i, (np.array([8.0 * (i // 30), 1.0 * (i % 2)]) + rng.normal(size=2) * 0.4).tolist()) for i in range(120)] + [(1000, [50.0, 50.0]), (1001, [-9.0, 30.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in sorted(rows)])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, 3]
+    total = sum(w for w, _, _ in cluster.spanning_tree(df.toDF("id", "vec"), np.array(sorted(i for i, _ in rows)), 3))
+    reach, seen, want = np.maximum(d, np.maximum(core[:, None], core[None])), [0], 0.0
+    near = reach[0].copy()
+    near[0] = np.inf
+    for _ in range(len(x) - 1):
+        k = int(np.argmin(near))
+        want += near[k]
+        seen.append(k)
+        near = np.minimum(near, reach[k])
+        near[seen] = np.inf
+    assert total == pytest.approx(want)
+    for method in ("leaf", "eom"):
+        one = {r.vec_id: r.cluster for r in cluster.hdbscan(df, 6, 3, method).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(cluster, "LOCAL_POINTS", 10)
+            many = {r.vec_id: r.cluster for r in cluster.hdbscan(df, 6, 3, method).collect()}
+        names = {}
+        assert all(names.setdefault(one[i], many[i]) == many[i] for i in one) and len(set(names.values())) == len(names) and names.get(-1, -1) == -1
+
+
 def test_noise_goes_to_the_nearest_centroid(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 1), (4, [0.1, 0.8], -1), (5, [0.5, 0.5], -1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cluster int")
