@@ -21,9 +21,18 @@ more come last in the order, so common passages hardly ever meet in the matrix;
 the set of those is bounded by ``MAX_HOT`` (a higher limit is used beyond it),
 which changes the order alone and never the result.
 
+Before groups are opened, bitmaps of four to eight bits a token bound each pair's
+intersection from above; only what passes has its whole sets read, in a second scan.
+
+Sets are compared by 64-bit hashes of shingles, so "exact" means: unless two different
+shingles of the documents compared share a hash, or more than one pair of a document's
+shingles shares 42 bits of it right at the limit.
+
 Defined results: null or empty texts, or texts without words, have no shingles and
 link with nothing; rows that repeat an id with another text are one node with the
-links of each; null ids link with nothing; extra columns are ignored.
+links of each; null ids link with nothing; texts of any length are read whole; of
+documents with equal sets the smallest id stands for all; an empty table gives no rows;
+other columns are never read, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,9 +6,12 @@ bound on the driver's memory), flattened into numpy node arrays, and scored for
 whole batches at a time.  Chosen features are held monotonic: more symbols,
 more repeated lines or more repeated words never raise a document's score.
 
-Defined results: a null or empty text has all counts 0 and fails the base rule;
-repeated rows are scored alike, each on its own; without labels of both kinds
-the model keeps all that the base rule keeps; extra columns are ignored.
+Defined results: a null or empty text has all counts 0 and fails the base rule; texts
+of any length are counted whole; repeated rows and rows with a null id are scored
+alike, each on its own; rows with a null id are not trained on, several labels of one
+id are averaged, and of equal splits the first feature and threshold is taken; without
+labels of both kinds the model keeps all that the base rule keeps; an empty table
+gives no rows; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations

@@ -189,6 +189,35 @@ def test_forest_is_monotonic():
     assert ((quality_gbt.fit(free, (free[:, 0] > 0.5).astype(float)).predict(free) > 0.5) == (free[:, 0] > 0.5)).mean() > 0.95
 
 
+def test_forest_matches_a_walk_of_its_nodes():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, len(quality_gbt.FEATURES)))
+    forest = quality_gbt.fit(x, (x[:, 1] + 0.5 * x[:, 9] > 0.7).astype(float), trees=15)
+    for row, p in zip(x, forest.predict(x)):
+        total = forest.base
+        for at in forest.roots:
+            while forest.left[at] != at:
+                at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+            total += forest.value[at]
+        assert p == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_quality_on_held_out_labels():
+    """Fitted on four fifths of the labelled documents of sf0.01, judged on the rest."""
+    import pyarrow.parquet as pq
+
+    base = "/root/testdata/sf0.01"
+    text = dict(zip(*(pq.read_table(f"{base}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "text"))))
+    labels = pq.read_table(f"{base}/labels.parquet").to_pylist()
+    x = np.array([quality_gbt.statistics((text[r["doc_id"]] or "").encode())[5:] for r in labels])
+    y = np.array([float(r["quality"]) for r in labels])
+    held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in labels])
+    p = quality_gbt.fit(x[~held], y[~held]).predict(x[held])
+    good, bad = p[y[held] == 1], p[y[held] == 0]
+    assert ((p >= 0.5) == (y[held] == 1)).mean() > max(y[held].mean(), 1 - y[held].mean()) + 0.04
+    assert (good[:, None] > bad[None, :]).mean() > 0.95
+
+
 def test_language_id(spark):
     df, rows = corpus(spark)
     model = language_nb.train(df.where(~language_nb.held_out()))
@@ -327,6 +356,24 @@ def test_prefilter_loses_nothing():
         assert scanner.detect(low) == scanner.detect(low, prefilter=False), t
 
 
+def test_labels_and_score_match_a_plain_scan():
+    """Every rule on the text, and each detection held against every other."""
+    scanner = license_rules.Scanner()
+    for text in [*BODIES, *NO_LICENSE, *(t for t in LICENSES if t), " ".join(BODIES), "\n".join(t for t in LICENSES if t)]:
+        low = text.encode().lower()
+        found = [(m.start(), m.end(), i) for i, r in enumerate(scanner.rules) for m in r.pattern.finditer(low)]
+        strength = lambda x: (-scanner.rules[x[2]].priority, x[0] - x[1], x[0], x[2])
+        kept = []
+        for x in sorted(found, key=strength):
+            if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
+                kept.append(x)
+        base = {label for _, label in brute_places(text)[1]}
+        labels = base | {scanner.rules[i].label for _, _, i in kept}
+        score = max([0.3 * bool(base), *(scanner.rules[i].priority / 100 for _, _, i in kept)], default=0)
+        got = license_rules.scan(text.encode(), scanner)
+        assert (got[5], got[6], got[7]) == (",".join(sorted(labels)), score, len(kept))
+
+
 def test_each_signature_names_its_keyword_and_can_match():
     assert len(license_rules.SIGNATURES) >= 200 and len(set(x[3] for x in license_rules.SIGNATURES)) == len(license_rules.SIGNATURES)
 
