@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +59,22 @@ def keyphrases(joined: DataFrame, extract: Callable[[str], list[tuple[str, float
     return joined.select(cluster, run("text").alias("keyword_scores"))
 
 
+def keyphrase_extractor(encoder: Encoder, longest: int = 2, top_n: int = 10, stop: tuple[str, ...] = t.ENGLISH_STOP) -> Callable[[str], list[tuple[str, float]]]:
+    """An extractor for keyphrases(): the n-grams whose vectors lie nearest to the whole text's (ties by phrase)."""
+
+    def extract(text: str) -> list[tuple[str, float]]:
+        words = [w for w in re.findall(r"\w\w+", text.lower()) if w not in stop]
+        phrases = sorted({" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)})
+        if not phrases:
+            return []
+        m = np.asarray(encoder([text, *phrases]), "f8")
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        score = m[1:] @ m[0]
+        return [(phrases[i], float(score[i])) for i in np.argsort(-score, kind="stable")[:top_n]]
+
+    return extract
+
+
 def saved(spark: SparkSession, path: str, expected_rows: int, build: Callable[[], DataFrame]) -> DataFrame:
     """A saved table, built anew if it is missing, unreadable or of another number of rows."""
     try:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vectors as v
-from ..operators import boolean, cluster, knn, labels, learn, rag, vectorize
+from ..operators import boolean, cluster, knn, labels, learn, neighbours, rag, vectorize
 from ..sources import tables as s
 
 BOOLEAN = {
@@ -561,6 +561,18 @@ def pca_projection(spark, d):
     return r.select("vec_id", F.round(F.abs("x"), 4).alias("x"), F.round(F.abs("y"), 4).alias("y"))
 
 
+@query
+def umap(spark, d):
+    r = neighbours.umap(vecs(spark, d))
+    return r.select("vec_id", F.get("projected", F.lit(0)).alias("x"), F.get("projected", F.lit(1)).alias("y"))
+
+
+@query
+def umap_hdbscan(spark, d):
+    """Density clusters in 15 dimensions of the neighbour embedding."""
+    return cluster.hdbscan(neighbours.umap(vecs(spark, d), 15), 4, 1, "leaf", id_col="vec_id", vec_col="projected")
+
+
 @query
 def hdbscan(spark, d):
     return cluster.hdbscan(vecs(spark, d))

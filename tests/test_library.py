@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexigrove import service
 from lexigrove.functions import text as t
 from lexigrove.functions import vectors as v
-from lexigrove.operators import boolean, cluster, knn, labels, learn, rag, vectorize
+from lexigrove.operators import boolean, cluster, encode, knn, labels, learn, neighbours, rag, vectorize
 from lexigrove.sources import search, tables
 from lexigrove.streaming import incremental
 
@@ -118,6 +118,43 @@ def test_hdbscan_on_separable_points(spark):
         cluster.hdbscan(df, max_points=5)
 
 
+def test_neighbour_embedding_keeps_groups_apart(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(4, 10)) * 6
+    rows = [(100 + i, (centres[i % 4] + rng.normal(size=10)).tolist()) for i in range(160)] + [(999, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: np.array(r.projected) for r in neighbours.umap(df, epochs=200).collect()}
+    assert set(got) == {i for i, v in rows if v}
+    y = np.array([got[100 + i] for i in range(160)])
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(2)) + np.eye(160) * 1e9
+    same = np.arange(160) % 4
+    assert (same[d.argmin(axis=1)] == same).mean() > 0.97
+    mids = np.array([y[same == k].mean(axis=0) for k in range(4)])
+    inner = np.mean([np.linalg.norm(y[same == k] - mids[k], axis=1).mean() for k in range(4)])
+    assert min(np.linalg.norm(mids[a] - mids[b]) for a in range(4) for b in range(a)) > 3 * inner
+    again = {r.vec_id: r.projected for r in neighbours.umap(df, epochs=200).collect()}
+    assert all(np.allclose(again[i], got[i], atol=1e-6) for i in got)
+    assert [len(r.projected) for r in neighbours.umap(df.limit(2)).collect()] == [2, 2]
+
+
+def test_memberships_sum_to_the_logarithm():
+    d = np.sort(np.random.default_rng(1).random((20, 14)) + 0.1, axis=1)
+    w = neighbours.smooth(d)
+    assert np.allclose(w.sum(axis=1), np.log2(14), atol=1e-3) and np.allclose(w[:, 0], 1) and (np.diff(w, axis=1) <= 0).all()
+    a, b = neighbours.curve(0.1)
+    assert abs(a - 1.577) < 0.02 and abs(b - 0.895) < 0.01
+
+
+def test_keyphrases_near_the_text(spark):
+    words = ["solar", "panel", "cell", "market"]
+    bag = lambda texts: np.array([[t.split().count(w) + 0.0 for w in words] for t in texts])
+    extract = encode.keyphrase_extractor(bag, top_n=2)
+    assert [p for p, _ in extract("solar panel solar panel cell")] == ["panel solar", "solar panel"] and extract("the of") == []
+    df = spark.createDataFrame([(1, "solar panel solar"), (2, None)], "cluster int, text string")
+    got = {r.cluster: r.keyword_scores for r in encode.keyphrases(df, extract).collect()}
+    assert got[2] == {} and max(got[1], key=got[1].get) in ("solar panel", "panel solar")
+
+
 def test_hdbscan_beyond_one_task(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(3 * i, (np.array([8.0 * (i // 30), 1.0 * (i % 2)]) + rng.normal(size=2) * 0.4).tolist()) for i in range(120)] + [(1000, [50.0, 50.0]), (1001, [-9.0, 30.0])]
