@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one Python step handles at once; bounds the working
 #: memory of a task whatever the number of rows in an Arrow batch.
 SLICE_BYTES = 2 << 20
-#: Rows of an Arrow batch at most, while a table is written.
+#: Rows of an Arrow batch at most.
 BATCH_ROWS = 2000
 
 
@@ -48,15 +48,11 @@ def drop_tables(spark: SparkSession, places: list[str]) -> None:
     places.clear()
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of few rows while a table is written: long texts make large batches."""
-    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows in this session: long texts make large batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def materialize(df: DataFrame, name: str, space: list[str] | None = None) -> DataFrame:
@@ -70,8 +66,8 @@ def materialize(df: DataFrame, name: str, space: list[str] | None = None) -> Dat
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     if space is not None:
         space.append(path)
-    with _small_batches(spark):
-        df.write.parquet(path)
+    small_batches(spark)
+    df.write.parquet(path)
     if space is None and (outer := _outer.get()) is not None:
         outer.append(path)
     elif space is None:
@@ -196,4 +192,5 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch, list], pa.RecordBat
                 if out is not None and out.num_rows:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

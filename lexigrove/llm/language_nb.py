@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, sum_blocks
+from .common import map_arrow, slices, small_batches, sum_blocks
 
 ORDERS = (1, 2, 3)
 BITS = 15
 #: Cells of the matrix that are gathered at once, and bytes of it at most.
 CELLS, MATRIX_BYTES = 1 << 21, 1 << 30
+#: Bytes of text whose n-grams are gathered at once.
+SLICE = 1 << 19
 _WORD_LIKE = re.compile(r"[^\W\d_]")
 
 
@@ -61,7 +63,7 @@ def count_ngrams(rows: DataFrame, dtype: str = "float64") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[str, np.ndarray] = {}
         for b in batches:
-            for part, texts in slices(b):
+            for part, texts in slices(b, limit=SLICE):
                 by: dict[str, list] = {}
                 for lang, t in zip(part.column(0).to_pylist(), texts):
                     by.setdefault(lang, []).append((t or b"").decode("utf-8", "replace"))
@@ -160,7 +162,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, un
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for part, texts in slices(b):
+            for part, texts in slices(b, limit=SLICE):
                 keep = np.zeros(len(texts), bool)
                 text = [None if t is None else t.decode("utf-8", "replace") for t in texts]
                 known = [i for i, t in enumerate(text) if model and t and has_letter(t)]
@@ -171,6 +173,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, un
                     yield pa.RecordBatch.from_arrays(kept.columns[2:], names=names)
 
     names = docs.columns
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, docs.schema)
 
 

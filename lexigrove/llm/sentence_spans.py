@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bit_filter, materialize, may_hold, scratch, slices, text_bytes
+from .common import bit_filter, materialize, may_hold, scratch, slices, small_batches, text_bytes
 
 #: A sentence of more words is cut at anchors: of any ANCHOR words in a row, the first with the least hash.
 LONG, ANCHOR = 17, 16
-#: Bytes of text whose words are hashed in one stroke.
-STROKE = 1 << 20
+#: Bytes of text that are cut at once, and whose words are hashed in one stroke.
+SLICE, STROKE = 1 << 19, 1 << 18
 #: Bytes of input for each bucket of packed hashes.
 BUCKET_BYTES = 8 << 20
 
@@ -146,8 +146,8 @@ def split(texts: list[bytes | None]) -> Parts:
         sentence = np.cumsum(opens) - 1
         window = np.flatnonzero((sentence[: n - ANCHOR + 1] == sentence[ANCHOR - 1 :]) & (size[sentence[: n - ANCHOR + 1]] > LONG))
         view = np.lib.stride_tricks.sliding_window_view(hashes, ANCHOR)
-        for lo in range(0, len(window), STROKE):
-            own = window[lo : lo + STROKE]
+        for lo in range(0, len(window), STROKE // ANCHOR):
+            own = window[lo : lo + STROKE // ANCHOR]
             opens[own + view[own].argmin(axis=1)] = True
     word = np.flatnonzero(opens)
     first = np.searchsorted(doc[word], np.arange(len(texts) + 1))
@@ -207,7 +207,7 @@ def repeated_hashes(rows: DataFrame, bits: int, min_sentences: int, min_words: i
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, texts in slices(b):
+            for _, texts in slices(b, limit=SLICE):
                 h = np.sort(slice_runs(texts, min_sentences, min_words)[3].view(np.uint64)) >> np.uint64(24 - bits)
                 if not len(h):
                     continue
@@ -238,7 +238,7 @@ def span_hashes(rows: DataFrame, table: np.ndarray, bits: int, min_sentences: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in slices(b):
+            for part, texts in slices(b, limit=SLICE):
                 which, first, n, h1, h2 = slice_runs(texts, min_sentences, min_words)
                 again = may_hold(shared.value, (h1.view(np.uint64) >> np.uint64(24 - bits)).view(np.int64))
                 which, first, n, h1, h2 = (x[again] for x in (which, first, n, h1, h2))
@@ -275,7 +275,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in slices(b):
+            for part, texts in slices(b, limit=SLICE):
                 out, gone = list(texts), [0] * len(texts)
                 first, n = part.column(0).to_pylist(), part.column(2).to_pylist()
                 cut = [i for i in range(len(texts)) if first[i]]
@@ -295,5 +295,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fields = [T.StructField(text_col, T.BinaryType()), *(rows.schema[c] for c in rest)]
     if report:
         fields += [T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]
+    small_batches(docs.sparkSession)
     done = rows.mapInArrow(run, T.StructType(fields)).withColumn(text_col, F.col(text_col).cast("string"))
     return done.select(*(c for c in docs.columns if c not in added), *added)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -348,6 +348,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids], names=names)
 
     schema = T.StructType([*rows.drop("_").schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
@@ -365,6 +366,7 @@ def decode(rows: DataFrame, model: Model, ids_col: str = "ids", out_col: str = "
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[ids_col, *rest, out_col])
 
     rows = rows.select(ids_col, *rest)
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
