@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, materialize, scratch, slices, sum_blocks
+from .common import ids_and_text, materialize, scratch, shuffles_freed, slices, sum_blocks
 
 #: White space is no word, so it can stand for the end of a text.
 END = b"\n"
@@ -50,8 +50,9 @@ MIN_BITS, MAX_BITS, TOKENS_A_ROW, BLOCK = 12, 16, 64, 256
 FIRST_STEP, STEPS = 0.45, (0.35, 0.3)
 #: What shrinks a step where counts are small: outcomes as expected, and of each kind.
 AS_EXPECTED, OF_EACH = 6.0, 2.0
-#: Tokens handled at once in numpy, and distinct words counted before they are sent.
-CHUNK, COUNTED = 1 << 14, 200_000
+#: Tokens handled at once in numpy (what they make stays in a core's cache), tokens summed in single precision
+#: before the sums are added up in double, and distinct words counted before they are sent.
+CHUNK, FLUSH, COUNTED = 1 << 12, 1 << 20, 200_000
 FEATURES = 3
 
 
@@ -190,7 +191,7 @@ class Model:
         h = self.features(ids, place)
         for lo in range(0, len(ids), CHUNK):
             for level, (f, right, _) in enumerate(self.rows(ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK])):
-                np.add.at(sums[level].reshape(-1), (f.astype(np.int64) * sums[level].shape[1] + right).ravel(), 1.0)
+                np.add.at(sums[level].reshape(-1), (f.astype(np.int64) * sums[level].shape[1] + right).ravel(), np.float32(1))
 
     def expected(self, ids: np.ndarray, place: np.ndarray, sums: list[np.ndarray]) -> None:
         """Add how often each outcome is expected with each row of features."""
@@ -213,8 +214,8 @@ class Model:
         # Rounded, so that the order of sums between runs leaves no trace.
         self.w[level] += np.round(step * np.log((seen + some) / (expected + some)), 3).astype("f4")
 
-    def tables(self) -> list[np.ndarray]:
-        return [np.zeros(w.shape) for w in self.w]
+    def tables(self, kind: str = "f8") -> list[np.ndarray]:
+        return [np.zeros(w.shape, kind) for w in self.w]
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
@@ -244,7 +245,7 @@ def numbers(small: pa.Array, large: pa.Array) -> Iterator[tuple[int, int, np.nda
     lo = 0
     while lo < len(small):
         hi, size = lo, 0
-        while hi < len(small) and (hi == lo or size + len(small[hi]) <= 32 * CHUNK):
+        while hi < len(small) and (hi == lo or size + len(small[hi]) <= 128 * CHUNK):
             size += len(small[hi])
             hi += 1
         ids = np.frombuffer(b"".join(small[lo:hi]), "<u2").astype(np.int64)
@@ -261,12 +262,23 @@ def sums_over(rows: DataFrame, model: Model, what: str) -> list[np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        sums, some = model.tables(), False
+        sums, part, held, some = model.tables(), model.tables("f4"), 0, False
+
+        def flush() -> None:
+            for total, own in zip(sums, part):
+                total += own
+                own[:] = 0
+
         for b in batches:
             for _, _, ids, place in numbers(b.column(0), b.column(1)):
                 some = True
-                getattr(model, what)(ids, place, sums)
+                getattr(model, what)(ids, place, part)
+                held += len(ids)
+                if held > FLUSH:
+                    flush()
+                    held = 0
         if some:
+            flush()
             for level, table in enumerate(sums):
                 for lo in range(0, len(table), 16 * BLOCK):
                     data = [table[i : i + BLOCK].astype("f4").tobytes() for i in range(lo, min(lo + 16 * BLOCK, len(table)), BLOCK)]
@@ -274,14 +286,13 @@ def sums_over(rows: DataFrame, model: Model, what: str) -> list[np.ndarray]:
 
     # A task sends tables of fixed size, so it should read a few times as much.
     tasks = max(spark.sparkContext.defaultParallelism, 2 * model.total // (2 * sum(w.nbytes for w in model.w)))
-    found = sum_blocks(rows.select("small", "large").coalesce(tasks).mapInArrow(run, "key string, block int, data binary"), "float64", "float32")
+    with shuffles_freed(spark):
+        got = sum_blocks(rows.select("small", "large").coalesce(tasks).mapInArrow(run, "key string, block int, data binary"), "float64", "float32").toArrow()
     out = model.tables()
-    for key, block, data in zip(*(c.to_pylist() for c in found.toArrow().columns)):
+    for key, block, data in zip(*(c.to_pylist() for c in got.columns)):
         own = out[int(key)][block * BLOCK : (block + 1) * BLOCK]
         own += np.frombuffer(data).reshape(own.shape)
     shared.unpersist()
-    # Shuffle files go when the driver collects the plans that made them.
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
