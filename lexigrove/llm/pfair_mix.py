@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-#: Buckets of the hashed order within a source; a hot source is ranked in so many parts.
-BUCKETS = 1024
+#: Buckets of the hashed order within a source, each ranked by itself; sources of more rows than these hold have more.
+BUCKETS, BUCKET_ROWS = 1024, 1 << 14
 #: Consecutive blocks of a source in one row of the plan.
 CHUNK = 1024
 #: Blocks of a plan that is broadcast (32 bytes each); longer plans are joined by a shuffle.
@@ -159,13 +159,18 @@ OUT = ("block", "phase", "slot", "release", "deadline", "place")
 def _scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs: int = 16, period: int = 1000, max_sources: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tempering: float = 0.5) -> DataFrame:
     """``docs`` with the columns of OUT, each named with two underscores before it."""
     spark = docs.sparkSession
-    rows = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("__h", F.xxhash64(F.col(id_col))).withColumn("__bucket", F.pmod("__h", F.lit(BUCKETS)).cast("int"))
+    # Rows without an id are told apart by their texts, else all would have one place in the order.
+    h = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(F.xxhash64(F.col(id_col)))
+    rows = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("__h", h)
+    sizes = {r["__source"]: r["n"] for r in rows.groupBy("__source").agg(F.count("*").alias("n")).limit(max_sources + 1).collect()}
+    if len(sizes) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    large = {s: -(-n // BUCKET_ROWS) for s, n in sizes.items() if n > BUCKETS * BUCKET_ROWS}
+    buckets = F.coalesce(F.create_map(*(F.lit(x) for pair in large.items() for x in pair))[F.col("__source")], F.lit(BUCKETS)) if large else F.lit(BUCKETS)
+    rows = rows.withColumn("__bucket", F.pmod("__h", buckets).cast("int"))
     parts = rows.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("__source", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    sizes = {r["__source"]: r["n"] for r in parts.groupBy("__source").agg(F.sum("__n").alias("n")).limit(max_sources + 1).collect()}
-    if len(sizes) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
     if weights is None:
         weights = {s: n**tempering for s, n in sizes.items()}
     least = min((w for w in weights.values() if w > 0), default=1.0)

@@ -432,6 +432,16 @@ def test_packed_tokens_of_many_buckets(spark, monkeypatch):
     assert out == roots(sets, [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
 
 
+def test_mixing_a_source_of_many_buckets(spark, monkeypatch):
+    rows = [(None if i < 40 else i, f"text {i}", "hot" if i % 4 else "s") for i in range(300)]
+    monkeypatch.setattr(pfair_mix, "BUCKETS", 2)
+    monkeypatch.setattr(pfair_mix, "BUCKET_ROWS", 16)
+    out = pfair_mix.mix(docs(spark, rows), block_docs=4).collect()
+    assert len({(r.slot, r.place) for r in out}) == len(out) == 300
+    assert all(r.release <= r.slot < r.deadline for r in out)
+    assert {(r.doc_id, r.text, r.source) for r in out} == set(rows)
+
+
 def test_mixing_plan_too_long_to_broadcast(spark, monkeypatch):
     df = docs(spark, [(None if i % 9 == 0 else i, None if i % 7 == 0 else "long " * (20_000 if i == 5 else 1), f"s{i % 3}") for i in range(200)])
     want = sorted(map(str, pfair_mix.mix(df, block_docs=2).collect()))
