@@ -46,8 +46,8 @@ MAX_VOCABULARY = 1 << 17
 CLASSES, HEAD_CLASSES, WIDTH = 64, 32, 32
 #: Bits of the hashed feature tables at least and at most, training tokens for each row, rows of a block of sums.
 MIN_BITS, MAX_BITS, TOKENS_A_ROW, BLOCK = 12, 16, 64, 256
-#: Step at weights of zero (classes only, from the observed counts), and steps of the passes.
-FIRST_STEP, STEPS = 0.45, (0.35, 0.3)
+#: Step at weights of zero (classes only, from the observed counts), and for each pass of expected counts those of both levels.
+FIRST_STEP, STEPS = 0.45, ((0.55, 0.75),)
 #: What shrinks a step where counts are small: outcomes as expected, and of each kind.
 AS_EXPECTED, OF_EACH = 6.0, 2.0
 #: Tokens handled at once in numpy (what they make stays in a core's cache), tokens summed in single precision
@@ -296,14 +296,14 @@ def sums_over(rows: DataFrame, model: Model, what: str) -> list[np.ndarray]:
     return out
 
 
-def train(rows: DataFrame, model: Model, steps: tuple[float, ...] = STEPS) -> Model:
+def train(rows: DataFrame, model: Model, steps: tuple[tuple[float, float], ...] = STEPS) -> Model:
     """``rows``: encoded training rows; each takes part in every pass."""
     seen = sums_over(rows, model, "observed")
     # At weights of zero every history expects the classes' shares.
     model.update(0, seen[0], seen[0].sum(axis=1, keepdims=True) * model.prior, FIRST_STEP)
-    for step in steps:
+    for pair in steps:
         for level, expected in enumerate(sums_over(rows, model, "expected")):
-            model.update(level, seen[level], expected, step)
+            model.update(level, seen[level], expected, pair[level])
     return model
 
 
@@ -344,8 +344,8 @@ def score(encoded: DataFrame, model: Model, counts: DataFrame, space: list[str]
 
     rows = encoded.select("doc_id", "held_out", "row", "small", "large").mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, log double")
     # The exact way for words outside the broadcast vocabulary.
-    rest = encoded.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("k"))
-    rest = rest.join(counts, "token").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("add"))
+    rest = encoded.select("row", F.explode("rest").alias("token")).join(counts, "token")
+    rest = rest.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("add"))
     out = rows.join(rest, "row", "left")
     add = F.coalesce("add", F.lit(0.0))
     return out.select(
@@ -359,7 +359,7 @@ def score(encoded: DataFrame, model: Model, counts: DataFrame, space: list[str]
     )
 
 
-def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, steps: tuple[float, ...] = STEPS) -> DataFrame:
+def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, steps: tuple[tuple[float, float], ...] = STEPS) -> DataFrame:
     """Score every row, with a model of the rows outside the held-out fold."""
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == held_fold, F.lit(False))
     docs = ids_and_text(documents, id_col, text_col, (held.alias("held_out"),))
