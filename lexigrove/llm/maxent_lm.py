@@ -284,8 +284,8 @@ def sums_over(rows: DataFrame, model: Model, what: str) -> list[np.ndarray]:
                     data = [table[i : i + BLOCK].astype("f4").tobytes() for i in range(lo, min(lo + 16 * BLOCK, len(table)), BLOCK)]
                     yield pa.RecordBatch.from_arrays([pa.array([str(level)] * len(data)), pa.array(range(lo // BLOCK, lo // BLOCK + len(data)), pa.int32()), pa.array(data, pa.binary())], names=["key", "block", "data"])
 
-    # A task sends tables of fixed size, so it should read a few times as much.
-    tasks = max(spark.sparkContext.defaultParallelism, 2 * model.total // (2 * sum(w.nbytes for w in model.w)))
+    # A task sends tables of a bounded size, so it should read about as many bytes of word numbers.
+    tasks = 1 + 2 * model.total // sum(w.nbytes for w in model.w)
     with shuffles_freed(spark):
         got = sum_blocks(rows.select("small", "large").coalesce(tasks).mapInArrow(run, "key string, block int, data binary"), "float64", "float32").toArrow()
     out = model.tables()
