@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import uuid
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that one Python step handles at once; bounds the working
 #: memory of a task whatever the number of rows in an Arrow batch.
 SLICE_BYTES = 2 << 20
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch at most, and its bytes (a longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +50,21 @@ def drop_tables(spark: SparkSession, places: list[str]) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_ROWS`` rows in this session: long texts make large batches."""
+    """Arrow batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` in this session: long texts make large batches."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def hand_back() -> None:
+    """Freed memory goes back to the system; a worker that waits would else keep what its largest slice took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 @contextmanager
@@ -137,7 +149,7 @@ def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut a record batch into runs of rows whose texts stay under ``limit`` bytes.
 
-    A single longer text forms a run of its own.
+    A single longer text forms a run of its own.  What the batch took is handed back at its end.
     """
     column = batch.column(text_col)
     n = batch.num_rows
@@ -153,6 +165,7 @@ def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -
         total += int(sizes[i])
     part = batch.slice(start, n - start)
     yield part, part.column(text_col).to_pylist()
+    hand_back()
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
