@@ -166,20 +166,24 @@ DROPPED = ("script", "style", "nav", "header", "footer")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
-def html_fallback(c: Column) -> Column:
-    """Body text without the dropped elements: tags become line ends, blank runs collapse."""
+def html_fallback(c: Column, limit: int | None = PAGE_LIMIT, blank: str = r"(?U)\s") -> Column:
+    """Body text without the dropped elements: tags become line ends, blank runs collapse.
+
+    ``limit``: None keeps the whole text; ``blank``: what is stripped at both ends.
+    """
     for tag in DROPPED:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
+        # Not \b and (?is): these differ from SQL's for letters beyond ASCII.
+        c = F.regexp_replace(c, rf"(?isu)<{tag}(?![A-Za-z0-9_])[^>]*>.*?</{tag}>", "")
     c = F.regexp_replace(c, r"(?is)<!--.*?-->", "")
     c = F.regexp_replace(c, r"(?is)^.*?<body[^>]*>", "")
     c = F.regexp_replace(c, r"(?s)<[^>]*>", "\n")
     for entity, value in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(value))
     c = F.regexp_replace(c, r"[ \t]*\n[ \t]*", "\n")
-    return cut_page(c)
+    return cut_page(c, limit, blank)
 
 
-def cut_page(c: Column, limit: int = PAGE_LIMIT) -> Column:
+def cut_page(c: Column, limit: int | None = PAGE_LIMIT, blank: str = r"(?U)\s") -> Column:
     c = F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r" {2,}", " ")
-    c = strip(c)
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("\n\n[TRUNCATED]"))).otherwise(c)
+    c = F.regexp_replace(c, rf"^{blank}+|{blank}+\z", "")
+    return c if limit is None else F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("\n\n[TRUNCATED]"))).otherwise(c)
