@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.operators import rag, space, vectorize
+from lexigrove.operators import knn, rag, space, vectorize
 from lexigrove.plans import queries
 from tests.conftest import SF
 
@@ -56,3 +57,24 @@ def test_retrieval_makes_no_row_for_a_common_term(spark):
     chunks = rag.chunk_table(queries.docs(spark, SF))
     plan = _plan(rag.retrieve_tfidf(queries.questions(spark, SF), chunks))
     assert "term" not in plan and "MapInArrow" in plan
+
+
+def test_nearest_rows_equal_brute_force():
+    """By distance with ties, barred and unusable rows, and far from the origin, where a product in single precision can't tell."""
+    rng = np.random.default_rng(3)
+    for a, b, width, k, shift in ((20, 300, 64, 4, 0), (10, 40, 5, 4, 0), (5, 3, 5, 4, 0), (20, 500, 3, 4, 1e6), (5, 200, 2, 3, 1e17)):
+        x, m = rng.integers(0, 9, (a, width)) + shift, rng.integers(0, 9, (b, width)) + shift
+        x, m = x.astype("f8"), m.astype("f8")
+        m[-1, 0] = np.nan if shift == 0 else m[-1, 0]
+        low, high = np.zeros(a, int), np.zeros(a, int)
+        high[0] = 1
+        i, j, _ = knn.nearest_rows(x, knn.Rows(m), k, (low, high))
+        d = np.sqrt(((x[:, None] - m[None]) ** 2).sum(2))
+        d[0, 0] = np.nan
+        want = [(p, q) for p in range(a) for q in np.lexsort((np.arange(b), d[p]))[:k].tolist() if np.isfinite(d[p, q])]
+        assert list(zip(i.tolist(), j.tolist())) == want
+
+
+def test_core_distances_come_with_the_neighbours(spark):
+    """One search by blocks for both, and no tile is sorted whole."""
+    assert _plan(knn.mutual_reachability(queries.vecs(spark, SF), 4, 4)).count("InMemoryRelation") == 3
