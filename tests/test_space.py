@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.operators import knn, rag, space, vectorize
+from lexigrove.operators import knn, learn, rag, space, vectorize
 from lexigrove.plans import queries
 from tests.conftest import SF
 
@@ -78,3 +78,21 @@ def test_nearest_rows_equal_brute_force():
 def test_core_distances_come_with_the_neighbours(spark):
     """One search by blocks for both, and no tile is sorted whole."""
     assert _plan(knn.mutual_reachability(queries.vecs(spark, SF), 4, 4)).count("InMemoryRelation") == 3
+
+
+def test_svd_rows_stay_in_the_jvm(spark, monkeypatch):
+    """The solver's steps don't convert rows in Python again; scores and values are those of numpy."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.mllib.linalg import distributed
+    from pyspark.sql import DataFrame
+
+    given, make = [], distributed.RowMatrix.__init__
+    monkeypatch.setattr(distributed.RowMatrix, "__init__", lambda self, rows, *a, **b: (given.append(rows), make(self, rows, *a, **b))[1])
+    a = np.random.default_rng(2).normal(size=(30, 7))
+    rows = spark.createDataFrame([(i, Vectors.sparse(7, list(range(7)), x.tolist())) for i, x in enumerate(a)], ["doc_id", "features"])
+    scores, values = learn.truncated_svd(rows, 3)
+    assert isinstance(given[0], DataFrame)
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(values, s[:3])
+    got = np.array([r.projected for r in scores.orderBy("doc_id").collect()])
+    assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]))
